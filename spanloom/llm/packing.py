@@ -139,7 +139,7 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
     return slots, sequences
 
 
-def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id", bucket_rows: int = 1 << 18) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id", bucket_rows: int = 1 << 9) -> DataFrame:
     """Adds sequence_id and offset to pieces; ``cut`` has id_col, piece and length (1 to ``capacity``).
 
     Offsets are gapless from 0 in every sequence.  Ties (equal lengths) rank by bucket, id and piece; an
@@ -149,8 +149,8 @@ def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id", bucket_ro
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     slots, _ = plan(histogram, capacity)
     slots.sort()
-    buckets = max(1, -(-max(histogram.values(), default=1) // bucket_rows))
-    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)).cast("int"))
+    many = cut.sparkSession.createDataFrame([(k, -(-n // bucket_rows)) for k, n in histogram.items()], "length long, buckets int")
+    keyed = cut.join(F.broadcast(many), "length").withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece"), "buckets").cast("int")).drop("buckets")
     counts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rank_before"))

@@ -11,6 +11,7 @@ from .bpe import bpe_round_trip
 from .common import table
 from .exact_dedup import exact_dedup
 from .langid import fit_language_model, identify
+from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .sharding import shard_by_bytes
 
@@ -35,6 +36,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 40)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), 2048)
 
@@ -51,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_sharding, op6_best_fit_packing, op7_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_sharding, op5_ngram_jaccard_join, op6_best_fit_packing, op7_bpe, op10_language_id)}
 
 
 OP2_SQL = """

@@ -29,6 +29,7 @@ _BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
+_SPAN = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,11 +67,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends = word.copy()
     ends[:-1] &= ~word[1:] | text_starts[1:n]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _powers(n)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODE[_LOWER[data]] * up[:n], out=sums[1:])
-    h = (sums[stops] - sums[starts]) * down[starts]
-    h = mix64(h + (stops - starts).astype(np.uint64))
+    h = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):  # spans of whole words, so that scratch arrays stay small
+        origin = int(starts[at])
+        upto = max(at + 1, int(np.searchsorted(stops, origin + _SPAN, "right")))
+        x, y = starts[at:upto] - origin, stops[at:upto] - origin
+        span = data[origin : int(stops[upto - 1])]
+        up, down = _powers(len(span))
+        sums = np.zeros(len(span) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_CODE[_LOWER[span]] * up[:-1], out=sums[1:])
+        h[at:upto] = mix64((sums[y] - sums[x]) * down[x] + (y - x).astype(np.uint64))
+        at = upto
     return h, np.searchsorted(starts, offsets)
 
 
@@ -86,7 +94,6 @@ def shingle_hashes(column: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray
     full = mix64(full)
     per_doc = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
     out = np.empty(int(per_doc.sum()), dtype=np.uint64)
-    at = np.concatenate([[0], np.cumsum(per_doc)])
     ends = np.zeros(n_docs + 1, dtype=np.int64)
     filled = 0
     for d in range(n_docs):
@@ -101,5 +108,15 @@ def shingle_hashes(column: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray
         out[filled : filled + len(own)] = own
         filled += len(own)
         ends[d + 1] = filled
-    del at
     return out[:filled], ends
+
+
+def slices(column: pa.Array, limit: int = 4 << 20, most: int = 60_000):
+    """Consecutive parts of a text column, of about ``limit`` bytes and at most ``most`` texts each."""
+    offsets = text_buffers(column)[1]
+    at = 0
+    while at < len(column):
+        end = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
+        end = min(max(end, at + 1), at + most, len(column))
+        yield at, column.slice(at, end - at)
+        at = end
