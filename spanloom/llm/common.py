@@ -44,11 +44,12 @@ def remove(spark: SparkSession, path: str) -> None:
     _MADE.pop(path, None)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, tidy: bool = False) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs only a reread.  Tables go when the session ends, or
-    earlier through :func:`remove` (their path is the attribute ``spanloom_path``).
+    earlier through :func:`remove` (their path is the attribute ``spanloom_path``).  ``tidy`` has Spark's
+    cleaner delete the shuffle files that only the written plan used, which it does at a collection only.
     """
     spark = df.sparkSession
     if not _MADE:
@@ -56,6 +57,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/spanloom/{uuid.uuid4().hex}-{tag}"
     df.write.parquet(path)
     _MADE[path] = spark
+    if tidy:
+        spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.spanloom_path = path
     return out

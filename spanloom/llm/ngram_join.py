@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, remove
 from .components import connected_components
 from .shingles import mix64, shingle_hashes, slices
 
-BYTES_A_BLOCK = 24 << 20
+BYTES_A_BLOCK = 12 << 20
 ROUNDS = 3
 SENT = "home int, block int, slice long, counts binary, tokens binary, fps binary, ids binary"
 BACK = "slice long, counts binary, tokens binary, dfs binary, fps binary, ids binary"
@@ -219,9 +219,10 @@ def jaccard_components(df: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
     blocks = max(64, -(-size // BYTES_A_BLOCK))
     sent = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).alias("text")).mapInArrow(_send(k, blocks), SENT)
     back = sent.groupBy("home").applyInArrow(_count, BACK)
-    found = materialize(back.groupBy("slice").applyInArrow(_gather, SETS), "sets")
-    members = found.filter("tokens is null").select("id", "node", "n")
-    sets = materialize(found.filter("tokens is not null").drop("id").dropDuplicates(["node"]), "nodes")
+    found = materialize(back.groupBy("slice").applyInArrow(_gather, SETS), "sets", tidy=True)
+    members = materialize(found.filter("tokens is null").select("id", "node", "n"), "members")
+    sets = materialize(found.filter("tokens is not null").drop("id").dropDuplicates(["node"]), "nodes", tidy=True)
+    remove(df.sparkSession, found.spanloom_path)
     postings = materialize(sets.mapInArrow(_postings, "token long, node long, n long, pos long, score double"), "postings")
     labels = None
     for turn in range(ROUNDS + 1):
@@ -237,7 +238,7 @@ def jaccard_components(df: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
             other = mixed.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "label")))
             met = mixed.join(other, "token").filter((F.col("label") < F.col("label2")) & _may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
             pairs = met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-        edges = materialize(_verified(pairs, sets), "links")
+        edges = materialize(_verified(pairs, sets), "links", tidy=True)
         if edges.isEmpty():
             continue
         labels = _merge(labels, edges)
