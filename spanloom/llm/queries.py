@@ -11,8 +11,10 @@ from .bpe import bpe_round_trip
 from .common import table
 from .exact_dedup import exact_dedup
 from .langid import fit_language_model, identify
+from .lm import score_documents
 from .ngram_join import jaccard_components
 from .packing import pack_documents
+from .pii import pseudonymize
 from .sharding import shard_by_bytes
 
 
@@ -28,6 +30,15 @@ def fold(n: int) -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+#: The key of the surrogates in the registered queries; a deployment passes its own secret.
+PII_KEY = "spanloom-demo-key"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymize(docs, PII_KEY, count_col="n_mentions")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -48,6 +59,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), fold(5) != 1)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_language_model(docs.filter(fold(4) != 2))
@@ -56,7 +71,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_sharding, op5_ngram_jaccard_join, op6_best_fit_packing, op7_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_exact_dedup, op3_sharding, op5_ngram_jaccard_join, op6_best_fit_packing, op7_bpe, op9_lm_scoring, op10_language_id)}
 
 
 OP2_SQL = """
