@@ -143,6 +143,8 @@ def _core(kind: Column, canon: Column, gender: Column, script: Column, attempt:
     card = F.when(F.pmod(_luhn_sum(canon), F.lit(10)) == 0, F.concat(body, check.cast("string"))).otherwise(plain)
     account = F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.lit("00"), F.substr(plain, F.lit(5)))
     iban = F.when(_mod97(canon) == 1, F.concat(F.substr(account, F.lit(1), F.lit(2)), F.lpad((98 - _mod97(account)).cast("string"), 2, "0"), F.substr(account, F.lit(5)))).otherwise(F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.substr(plain, F.lit(3))))
+    country = F.greatest(F.length(canon) - 10, F.lit(0))
+    phone = F.concat(F.substr(canon, F.lit(1), country), F.substr(plain, country + 1))
     secret = F.when(canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _swapped(canon, s, True)).otherwise(plain)
     hexes = _swapped(canon, s, True)
     person = F.lit("")
@@ -160,7 +162,7 @@ def _core(kind: Column, canon: Column, gender: Column, script: Column, attempt:
         whole = F.when(F.instr(canon, " ") > 0, F.concat_ws(" ", given, surname)).otherwise(surname)
         person = F.when(script == where, whole).otherwise(person)
     return (
-        F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "card", card).when(kind == "iban", iban)
+        F.when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "email", email).when(kind == "card", card).when(kind == "iban", iban)
         .when(kind == "secret", secret).when(kind.isin("mac", "ipv6"), hexes).when(kind == "person", person).otherwise(plain)
     )
 

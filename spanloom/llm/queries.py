@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
 from .bpe import bpe_round_trip
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .langid import fit_language_model, identify
 from .lm import score_documents
 from .ngram_join import jaccard_components
@@ -47,6 +49,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 40)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -59,6 +65,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), fold(5) != 1)
 
@@ -71,7 +81,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_exact_dedup, op3_sharding, op5_ngram_jaccard_join, op6_best_fit_packing, op7_bpe, op9_lm_scoring, op10_language_id)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_exact_dedup, op3_sharding, op4_html_extraction, op5_ngram_jaccard_join, op6_best_fit_packing, op7_bpe, op8_nearest_neighbours, op9_lm_scoring, op10_language_id)}
 
 
 OP2_SQL = """
