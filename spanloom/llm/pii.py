@@ -45,27 +45,31 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}+-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}|[0-9]{1,3}[ .-]\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4})(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}_+/-])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|gho|ghs|xoxb|xoxp|AKIA|ASIA)[-_A-Za-z0-9]{16,200}|(?<=(?:token|secret|passwd|password|api_key|api-key|apikey|access_key)[\"']{0,1}[ ]{0,2}[:=][ ]{0,2}[\"']{0,1})[A-Za-z0-9+/_=.-]{8,200})(?![\p{L}\p{N}_/+])",
+    "secret": r"(?<![\p{L}\p{N}_+/-])(?:(?=[a-f]*+[0-9])[0-9a-f]{32,128}|(?=[A-F]*+[0-9])[0-9A-F]{32,128}|(?:sk|pk|ghp|gho|ghs|xoxb|xoxp|AKIA|ASIA)[-_A-Za-z0-9]{16,200}|(?<=(?:token|secret|passwd|password|api_key|api-key|apikey|access_key)[\"']{0,1}[ ]{0,2}[:=][ ]{0,2}[\"']{0,1})[A-Za-z0-9+/_=.-]{8,200})(?![\p{L}\p{N}_/+])",
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLES})\.? {_WORD}(?: {_WORD})?|(?:{_NAMES}) {_WORD})(?![\p{{L}}\p{{N}}])",
 }
 ENTITY = "|".join(p.replace(r"([ -])", r"(?<sep>[ -])").replace(r"\1", r"\k<sep>") for p in PATTERNS.values())
-#: What any text with an entity holds; cheap, and says nothing about a text that has it.
-HINT = rf"[@0-9]|(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLES}|{_NAMES})\.? \p{{Lu}}|[0-9a-fA-F]{{32}}|(?:sk|pk|gh[pos]|xox[bp]|A[KS]IA)[-_A-Za-z0-9]{{16}}|(?:token|secret|passw|key)[^\n]{{0,12}}[:=]"
+#: A person by title or given name; only capitals start one, so the pattern is cheap.
+PERSON_HINT = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLES}|{_NAMES})\.? \p{{Lu}}"
 
 
-def _any(text: Column, pattern: str) -> Column:
-    return text.rlike(pattern)
+def may_hold(text: Column) -> Column:
+    """Whether a text may hold an entity: true of all that do, and cheap."""
+    keyed = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
+    secret = F.contains(text, F.lit("token")) | F.contains(text, F.lit("secret")) | F.contains(text, F.lit("passw")) | F.contains(text, F.lit("key"))
+    long = text.rlike("(?:sk|pk|gh[pos]|xox[bp])[-_]")
+    return text.rlike("[@0-9]") | (keyed & secret) | text.rlike(PERSON_HINT) | (F.contains(text, F.lit("_")) | F.contains(text, F.lit("-"))) & long
 
 
 def mentions(text: Column) -> Column:
     """All entities of a text, in order."""
-    return F.when(_any(text, HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(may_hold(text), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def kind_of(mention: Column) -> Column:
     """The type of a mention: the first pattern that it matches as a whole, its surroundings aside."""
     bare = {
-        "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|gho|ghs|xoxb|xoxp|AKIA|ASIA)[-_A-Za-z0-9]{16,200})",
+        "secret": r"(?:(?=[a-f]*+[0-9])[0-9a-f]{32,128}|(?=[A-F]*+[0-9])[0-9A-F]{32,128}|(?:sk|pk|ghp|gho|ghs|xoxb|xoxp|AKIA|ASIA)[-_A-Za-z0-9]{16,200})",
         "card": r"[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}",
     }
     out = F.when(F.lit(False), F.lit(""))
@@ -130,11 +134,12 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(_chars(moved), F.lit(0), lambda a, c: F.pmod(a * F.when(value(c) > 9, 100).otherwise(10) + value(c), F.lit(97)))
 
 
-def _core(kind: Column, canon: Column, gender: Column, script: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a canonical form at an attempt."""
-    seed = F.concat_ws("|", F.lit(key), kind, canon, gender, script, attempt.cast("string"))
-    s = _stream(seed, F.length(canon))
-    plain = _swapped(canon, s)
+def _seed(key: str) -> Column:
+    return F.concat_ws("|", F.lit(key), "kind", "canon", "gender", "script", F.col("attempt").cast("string"))
+
+
+def _core(kind: Column, canon: Column, gender: Column, script: Column, attempt: Column, s: Column, plain: Column) -> Column:
+    """The surrogate of a canonical form at an attempt; ``s`` has the keyed bytes, ``plain`` the form with its characters swapped."""
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(F.get(s, i), F.lit(254)) + 1).cast("string")), ".")
     domain = F.substring_index(canon, ".", -1)
     email = F.concat(_swapped(F.substr(canon, F.lit(1), F.length(canon) - F.length(domain)), s), domain)
@@ -155,8 +160,7 @@ def _core(kind: Column, canon: Column, gender: Column, script: Column, attempt:
         either = F.array(*map(F.lit, GIVEN[where, "m"] + GIVEN[where, "f"]))
         given = given.otherwise(F.element_at(either, F.pmod(F.get(s, 0), F.size(either)) + 1))
         parts = F.array(*map(F.lit, SYLLABLES[where]))
-        syllable = lambda i: F.element_at(parts, F.pmod(F.aggregate(F.slice(longer, 3 * i + 2, 3), F.lit(0), lambda a, x: a * 256 + x), F.size(parts)) + 1)  # noqa: B023, E731
-        longer = _stream(seed, F.lit(64))
+        syllable = lambda i: F.element_at(parts, F.pmod(F.aggregate(F.slice(s, 3 * i + 2, 3), F.lit(0), lambda a, x: a * 256 + x), F.size(parts)) + 1)  # noqa: B023, E731
         surname = F.array_join(F.transform(F.sequence(F.lit(0), F.least(F.lit(2) + F.floor(attempt / 4).cast("int"), F.lit(12))), lambda i: syllable(i)), "")
         surname = F.initcap(F.concat(surname, F.lit(SURNAME_END[where])))
         whole = F.when(F.instr(canon, " ") > 0, F.concat_ws(" ", given, surname)).otherwise(surname)
@@ -187,10 +191,14 @@ def _gender(mention: Column) -> Column:
 
 def surrogates(entities: DataFrame, key: str, most: int = 40) -> DataFrame:
     """Adds ``core`` to distinct (kind, canon, gender, script): no two alike within a kind, none that is itself an entity."""
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     now = materialize(entities.withColumn("attempt", F.lit(0)), "entities")
     real = now.select("kind", F.lower("canon").alias("core"), F.lit(True).alias("real")).distinct()
     for _ in range(most):
-        drawn = now.withColumn("core", _core(F.col("kind"), F.col("canon"), F.col("gender"), F.col("script"), F.col("attempt"), key))
+        # bytes and swapped characters are columns, so that no later expression works them out again
+        bytes_ = now.repartition(parts).withColumn("bytes", _stream(_seed(key), F.greatest(F.length("canon"), F.lit(64))))
+        swapped = bytes_.withColumn("plain", _swapped(F.col("canon"), F.col("bytes")))
+        drawn = swapped.withColumn("core", _core(*map(F.col, ("kind", "canon", "gender", "script", "attempt", "bytes", "plain")))).drop("bytes", "plain")
         first = Window.partitionBy("kind", "low").orderBy("attempt", "canon", "gender", "script")
         checked = drawn.withColumn("low", F.lower("core")).join(real.withColumnRenamed("core", "low"), ["kind", "low"], "left")
         checked = materialize(checked.withColumn("again", F.col("real").isNotNull() | (F.row_number().over(first) > 1)).drop("low", "real"), "surrogates")
