@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-WORDS, CLASSES, CONTEXT, DIM = 192, 63, 3, 16
+WORDS, CLASSES, CONTEXT, DIM = 128, 63, 3, 16
 UNITS = WORDS + CLASSES + 1
 END, START = UNITS - 1, UNITS
 HEAD = 1 << 16
-NOISE, BATCH, RATE = 48, 1024, 0.1
+NOISE, BATCH, RATE = 32, 2048, 0.1
 END_TOKEN = b" "  # no word holds a space
 
 
@@ -221,8 +221,15 @@ def score_documents(df: DataFrame, train: F.Column, id_col: str = "doc_id", text
     total, kinds = counts.agg(F.sum("c"), F.count("*")).first()
     total = total or 0
     denominator = total + 0.5 * (kinds + 1)
-    top = counts.orderBy(F.desc("c"), "token").limit(HEAD)
-    head = {bytes(r[0]): r[1] for r in top.collect()}
+    # the most frequent tokens by a threshold on the count, from a histogram of at most a few hundred steps
+    steps = counts.groupBy(F.floor(F.log2("c") * 8).alias("s")).agg(F.count("*"), F.min("c")).orderBy(F.desc("s")).collect()
+    room, least = HEAD, None
+    for _, n, low in steps:
+        if n > room:
+            break
+        room, least = room - n, low
+    top = counts.filter(F.col("c") >= least).collect() if least is not None else []
+    head = {bytes(r[0]): r[1] for r in sorted(top, key=lambda r: (-r[1], bytes(r[0])))}
     index = {t: k for k, t in enumerate(islice((t for t in head if t != END_TOKEN), WORDS))}
     # counts by unit, and what smoothing spreads within a class: 0.5 a known token, 0.5 an unknown one in all
     known = F.col("token").isin([*index, END_TOKEN]) if head else F.lit(False)
