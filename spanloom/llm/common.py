@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,7 @@ def materialize(df: DataFrame, tag: str, tidy: bool = False) -> DataFrame:
     df.write.parquet(path)
     _MADE[path] = spark
     if tidy:
+        gc.collect()
         spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.spanloom_path = path

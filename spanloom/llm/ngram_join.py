@@ -220,6 +220,7 @@ def jaccard_components(df: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
     sent = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).alias("text")).mapInArrow(_send(k, blocks), SENT)
     back = sent.groupBy("home").applyInArrow(_count, BACK)
     found = materialize(back.groupBy("slice").applyInArrow(_gather, SETS), "sets", tidy=True)
+    del sent, back
     members = materialize(found.filter("tokens is null").select("id", "node", "n"), "members")
     sets = materialize(found.filter("tokens is not null").drop("id").dropDuplicates(["node"]), "nodes", tidy=True)
     remove(df.sparkSession, found.spanloom_path)
