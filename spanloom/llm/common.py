@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: dict[str, SparkSession] = {}
@@ -72,3 +74,27 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name = f"_{name}"
     return name
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """A batch function that takes batches of at most 1024 rows and releases its memory when it ends."""
+
+    def small(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                yield b.slice(at, 1024)
+
+    def wrapped(batches):
+        yield from run(small(batches))
+        release()
+
+    return wrapped

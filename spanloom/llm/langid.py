@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .shingles import mix64
 
 BUCKETS = 1 << 15
@@ -169,7 +170,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     base = df.select(id_col, *keep, text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[:-1])
-    return base.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return base.mapInArrow(lean(run), f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -182,4 +183,4 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> Data
             at = b.schema.names.index(text_col)
             yield b.filter(pa.array([not own.predict(t)[2] for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove
+from .common import lean, materialize, release, remove
 from .components import connected_components
 from .shingles import mix64, shingle_hashes, slices
 
@@ -81,6 +81,7 @@ def _send(k: int, blocks: int):
 
 def _count(table: pa.Table) -> pa.Table:
     """Within one block: the shingles that two sets or more hold, back to their slices."""
+    release()
     rows = table.to_pylist()
     heads = [r for r in rows if r["block"] < 0]
     parts = [r for r in rows if r["block"] >= 0]
@@ -185,7 +186,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link."""
     two = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("t2")), "b")
     both = two.join(sets.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("tokens").alias("t1")), "a")
-    return both.select("a", "b", "n1", "n2", "t1", "t2").mapInArrow(_checked, "a long, b long")
+    return both.select("a", "b", "n1", "n2", "t1", "t2").mapInArrow(lean(_checked), "a long, b long")
 
 
 def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -217,14 +218,14 @@ def jaccard_components(df: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
     """
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(64, -(-size // BYTES_A_BLOCK))
-    sent = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).alias("text")).mapInArrow(_send(k, blocks), SENT)
+    sent = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(_send(k, blocks)), SENT)
     back = sent.groupBy("home").applyInArrow(_count, BACK)
     found = materialize(back.groupBy("slice").applyInArrow(_gather, SETS), "sets", tidy=True)
     del sent, back
     members = materialize(found.filter("tokens is null").select("id", "node", "n"), "members")
     sets = materialize(found.filter("tokens is not null").drop("id").dropDuplicates(["node"]), "nodes", tidy=True)
     remove(df.sparkSession, found.spanloom_path)
-    postings = materialize(sets.mapInArrow(_postings, "token long, node long, n long, pos long, score double"), "postings")
+    postings = materialize(sets.mapInArrow(lean(_postings), "token long, node long, n long, pos long, score double"), "postings")
     labels = None
     for turn in range(ROUNDS + 1):
         own = _labelled(postings, labels)

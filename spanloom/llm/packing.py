@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import WORDS, byte_symbols
-from .common import materialize
+from .common import lean, materialize
 
 #: Texts beyond this many characters go to the tokenizers library, whose pre-tokenizer has no stack limit.
 LONG = 400_000
@@ -90,7 +90,7 @@ def pieces(df: DataFrame, vocab_path: str, capacity: int = 2048, end_id: int = 0
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
