@@ -1,0 +1,319 @@
+"""The training-data operators against brute force, and on nulls, empty and long texts, ties, repeats and clashing names."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from spanloom.llm import ann, bpe, html_text, langid, lm, ngram_join, packing, pii, sharding
+from spanloom.llm.components import connected_components
+from spanloom.llm.exact_dedup import exact_dedup, keep_unique
+from spanloom.llm.queries import vocabulary
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, part int, node long, label string"
+
+
+def word(r):
+    return "".join(r.choice("abcdeimnorst") for _ in range(r.randint(1, 8)))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(4)
+    base = [" ".join(word(r) for _ in range(r.randint(1, 120))) for _ in range(60)]
+    out = [None, "", "   \t\n", "x", "a b", "a b", "one", "ÀÉ über 日本 text", "it's <|endoftext|> here", "z" * 3000, "ab " * 4000, None, ""]
+    out += base + base[:7]
+    for t in base[:25]:
+        w = t.split()
+        for _ in range(3):
+            v = list(w)
+            for _ in range(max(1, len(v) // 40)):
+                v[r.randrange(len(v))] = word(r)
+            out.append(" ".join(v))
+    return [(i, t) for i, t in enumerate(out)] + [(5, "a b")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", None, None, "x", 1, 2, "y") for i, t in texts], SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_exact_dedup(docs, texts, none):
+    groups = defaultdict(list)
+    for i, t in texts:
+        groups[t or ""].append(i)
+    got = sorted(tuple(r) for r in exact_dedup(docs, least=2).collect())
+    want = sorted((i, max(groups[t or ""]), len(groups[t or ""]), i == max(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in texts)
+    assert got == want == sorted(tuple(r) for r in exact_dedup(docs, least=1000).collect())
+    assert exact_dedup(none).count() == 0 and keep_unique(none).columns == none.columns
+    kept = keep_unique(docs, least=2).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(max(v) for v in groups.values()) and set(kept[0].asDict()) == set(docs.columns)
+
+
+def test_sharding(docs, texts, none):
+    got = sharding.shard_by_bytes(docs, 5, ranges=8, oversample=2, overfull=0.5).toPandas()
+    assert len(got) == len(texts) and set(got["shard"]) <= set(range(5)) and set(got["law"]) == {"bytes"}
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    by = got.groupby("shard")["size"].sum()
+    assert by.max() - by.min() <= 2 * got["size"].max()
+    for (i, t), n in Counter(texts).items():
+        own = got[(got.doc_id == i) & (got["size"] == len((t or "").encode()) + 16)]
+        assert len(own) == n and set(own["text_crc32"]) == {zlib.crc32((t or "").encode())}
+    assert sharding.shard_by_bytes(none, 5).count() == 0
+
+
+def brute_components(texts):
+    sets = {}
+    for i, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+    ids, top = sorted(sets), {i: i for i in sets}
+
+    def find(x):
+        return x if top[x] == x else find(top[x])
+
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("rounds", [3, 0])
+def test_ngram_join(docs, texts, none, rounds, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    want = brute_components(texts)
+    got = ngram_join.jaccard_components(docs).collect()
+    assert len(got) == len(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len({c for _, c in want.values()}) < len(want) - 20
+    assert ngram_join.jaccard_components(none).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(1)
+    pairs = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(40)]
+    top = {}
+
+    def find(x):
+        top.setdefault(x, x)
+        return x if top[x] == x else find(top[x])
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        top[y] = x
+    got = {r.node: r.label for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: find(i) for i in got} and {x for p in pairs if p[0] != p[1] for x in p} == set(got)
+
+
+def library(text):
+    from tokenizers import Tokenizer
+
+    library.t = getattr(library, "t", None) or Tokenizer.from_file(vocabulary())
+    return library.t.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe(docs, texts, none):
+    got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.bpe_round_trip(docs, vocabulary()).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {(i, len(library(t or "")), sha(",".join(map(str, library(t or "")))), sha(t or "")) for i, t in texts}
+    coded = bpe.bpe_encode(docs, vocabulary())
+    assert {(r.doc_id, r.text) for r in bpe.bpe_decode(coded, vocabulary()).collect()} == {(i, t or "") for i, t in texts}
+    assert bpe.bpe_round_trip(none, vocabulary()).count() == 0
+
+
+def test_bpe_code_points_and_runs():
+    own = bpe.load(vocabulary())
+    r = random.Random(2)
+    for c in [chr(c) for c in [*range(0, 0x500), *(r.randrange(0xE000, 0x110000) for _ in range(1500))]]:
+        assert own.encode(f"a{c}1 {c}b {c}  {c}") == library(f"a{c}1 {c}b {c}  {c}")
+    for n in (255, 256, 257, 300, 5000):
+        s = "".join(r.choice("etaoinshrdlu") for _ in range(n))
+        assert own.encode(s) == library(s) and own.decode(own.encode(s)) == s
+    assert own.decode([0xFF % 256, 50256])[-13:] == "<|endoftext|>"
+
+
+def test_packing(docs, texts, none):
+    got = packing.pack_documents(docs, vocabulary(), 64).toPandas()
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert list(g["offset"]) == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() <= 64
+    assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 64) * 1.1 + 1
+    want = Counter()
+    for i, t in texts:
+        ids = np.array([*library(t or ""), 0], "<u4")
+        n = len(ids)
+        cuts = [0, *range(n % 64 or 64, n, 64), n] if n > 64 else [0, n]
+        want.update((i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:])))
+    assert Counter(zip(got.doc_id, got.piece, got.start, got.length, got.ids_crc32)) == want
+    assert packing.pack_documents(none, vocabulary(), 64).count() == 0
+
+
+def test_plan_is_best_fit_decreasing():
+    r = random.Random(3)
+    for _ in range(60):
+        cap = r.choice([10, 64])
+        lengths = [r.randint(1, cap) for _ in range(r.randint(0, 200))]
+        slots, n = packing.plan(dict(Counter(lengths)), cap)
+        bins = []
+        for x in sorted(lengths, reverse=True):
+            fit = [k for k, f in enumerate(bins) if f >= x]
+            if fit:
+                bins[min(fit, key=lambda k: bins[k])] -= x
+            else:
+                bins.append(cap - x)
+        assert n == len(bins) and sum(c for _, _, c, _, _ in slots) == len(lengths)
+        used = defaultdict(list)
+        for length, _, count, first, offset in slots:
+            for s in range(first, first + count):
+                used[s].append((offset, length))
+        for parts in used.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= cap
+
+
+def test_language_id(spark, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = langid.fit_language_model(docs.filter(~held), per_language=120)
+    got = langid.identify(docs.filter(held), model, keep=("lang",)).collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97 and all(0 <= r.score <= 1 for r in got)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (4, "the and of that with"), (None, "the and of")], "doc_id long, text string")
+    out = langid.identify(odd, model).collect()
+    assert [r.lang_pred for r in out][:3] == ["und"] * 3 and out[3].lang_pred == "en" and all(r.rejected for r in out[:3])
+    assert langid.identify(none, model).count() == 0 and langid.fit_language_model(none).predict("abc")[0] == "und"
+    assert langid.keep_identified(odd, model).count() == 2
+
+
+def test_lm_scores(docs, texts, none):
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    got = lm.score_documents(docs, train).collect()
+    toks = lambda t: [*(t or "").encode().lower().split(), b" "]
+    c = Counter(x for i, t in texts if zlib.crc32(str(i).encode()) % 5 != 1 for x in toks(t))
+    n, v = sum(c.values()), len(c)
+    want = defaultdict(list)
+    for i, t in texts:
+        base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in toks(t))
+        want[i].append((len(toks(t)), sum(c[x] > 0 for x in toks(t)), base))
+    assert len(got) == len(texts)
+    for r in got:
+        assert any((r.n_tokens, r.n_known) == w[:2] and math.isclose(r.base_score, w[2], rel_tol=1e-9) for w in want[r.doc_id])
+        assert r.train_tokens == n and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) and r.score < 0
+    assert lm.score_documents(none, train).count() == 0
+    assert lm.score_documents(docs, F.lit(False)).filter("n_known > 0 or train_tokens > 0").count() == 0
+
+
+def test_lm_probabilities_sum_to_one():
+    model = lm.Lbl(np.arange(lm.UNITS, dtype=float))
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        ctx, y = rng.integers(0, lm.UNITS + 1, (256, lm.CONTEXT)), rng.integers(0, lm.UNITS, 256)
+        model.step(ctx.astype(np.int16), y.astype(np.int16), 0.1, rng)
+    ctx = np.tile(rng.integers(0, lm.UNITS + 1, (1, lm.CONTEXT)), (lm.UNITS, 1)).astype(np.int16)
+    assert math.isclose(np.exp(model.log_probs(ctx, np.arange(lm.UNITS))).sum(), 1, rel_tol=1e-4)
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    x = (centres[rng.integers(0, 12, 900)] + 0.3 * rng.normal(size=(900, 16))).astype(np.float32)
+    x[500:800] = x[500]  # a hot vector
+    data = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
+    data += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] + [1.0] * 15, 1), (904, [float("inf")] * 16, 1), (905, [1.0] * 3, 1), (None, [1.0] * 16, 1), (20, data[20][1], 1)]
+    got = ann.nearest_neighbours(spark.createDataFrame(data, "vec_id long, embedding array<float>, node int").repartition(3), F.col("vec_id") % 20 == 0, 20).toPandas()
+    assert set(got["query_id"]) == set(range(0, 900, 20))
+    hits = 0
+    for q, g in got.sort_values("rank").groupby("query_id"):
+        s = (x.astype(float) * x[q].astype(float)).sum(axis=1)
+        assert np.allclose(g["score"], s[g["vec_id"]], rtol=1e-12) and list(g["rank"]) == list(range(1, 21)) and q not in set(g["vec_id"])
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(900), -s))[:20]
+        hits += len(set(best) & set(g["vec_id"]))
+        hot = [i for i in g["vec_id"] if 500 <= i < 800]  # of equal vectors the least ids, in order
+        assert hot == [i for i in range(500, 800) if i != q][: len(hot)]
+    assert hits / (45 * 20) >= 0.9
+    few = spark.createDataFrame(data[:3], "vec_id long, embedding array<float>, node int")
+    assert ann.nearest_neighbours(few, F.lit(True), 20).count() == 6
+    assert ann.nearest_neighbours(few.limit(0), F.lit(True), 20).count() == 0
+
+
+def test_walk_is_by_descending_sum():
+    rng = np.random.default_rng(1)
+    a, b, sizes = rng.normal(size=9), rng.normal(size=7), rng.integers(0, 4, (9, 7))
+    cells = list(ann.walk(a, b, sizes.tolist(), 10**9))
+    sums = [a[i] + b[j] for i, j in cells]
+    assert sums == sorted(sums, reverse=True) and len(cells) == (sizes > 0).sum()
+
+
+PEOPLE = [
+    "Write to anna.b@mail.example.com or ANNA.B@mail.example.com, call +1 (415) 555-2671 now.",
+    "Card 4111 1111 1111 1111 and 4111-1111-1111-1111, IP 10.20.30.40.",
+    "IBAN DE89370400440532013000, SSN 123-45-6789, MAC 00:1A:2B:3C:4D:5E.",
+    'Mr. John Smith met Mrs. Mary Jones; token = "0123456789abcdef0123456789abcdef01234567" and Мария Петрова',
+    "Version 2.0, page 12 of 300, in 1999 and 2004; nothing here.",
+    None,
+    "",
+]
+
+
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def test_pii(spark, none):
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(PEOPLE + PEOPLE[:1])], "doc_id long, text string, digest string")
+    out = [r.text for r in pii.pseudonymize(df, "k").orderBy("doc_id").collect()]
+    assert out[4:7] == PEOPLE[4:7] and out[0] == out[7] and out[0] != PEOPLE[0]
+    for secret in ("anna.b@", "ANNA.B@", "555-2671", "4111", "10.20.30.40", "DE8937", "123-45-6789", "1A:2B", "Smith", "Jones", "0123456789abcdef", "Петрова"):
+        assert not any(secret in (t or "") for t in out), secret
+    mails = re.findall(r"\S+@\S+(?=[ ,])", out[0])
+    assert len(mails) == 2 and mails[0].lower() == mails[1].lower().rstrip(",") or mails[0].lower().strip(",") == mails[1].lower().strip(",")
+    cards = re.findall(r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", out[1])
+    plain = [re.sub(r"\D", "", c) for c in cards]
+    assert len(set(plain)) == 1 and luhn(plain[0]) and " " in cards[0] and "-" in cards[1]
+    iban = re.search(r"DE\d{20}", out[2])[0]
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    he, she = re.search(r"Mr\. (\w+) ", out[3])[1], re.search(r"Mrs\. (\w+) ", out[3])[1]
+    assert he in pii.GIVEN["latin", "m"] and she in pii.GIVEN["latin", "f"] and re.search(r"(?:%s) [А-Я]" % "|".join(pii.GIVEN["cyrillic", "f"]), out[3])
+    assert out != [r.text for r in pii.pseudonymize(df, "other").orderBy("doc_id").collect()]
+    assert pii.pseudonymize(none, "k").count() == 0
+
+
+def test_pii_surrogates_are_distinct(spark):
+    texts = [(i, f"call +1 ({i % 1000:03d}) 555-{i:04d} or 10.0.{i // 250}.{i % 250 + 1}") for i in range(3000)]
+    out = [r.text for r in pii.pseudonymize(spark.createDataFrame(texts, "doc_id long, text string"), "k").collect()]
+    for pattern in (r"\+1 \(\d{3}\) \d{3}-\d{4}", r"\d+\.\d+\.\d+\.\d+"):
+        new, old = [re.search(pattern, t)[0] for t in out], {re.search(pattern, t)[0] for _, t in texts}
+        assert len(set(new)) == 3000 and not set(new) & old
+
+
+def test_html():
+    page = "<p>a<p>b &amp; c<ul><li>x<li>y<ol><li>1<li>2</ol></ul><table><tr><th>Name<th>Q<tr><td>Apple pie<td>3<tr><td>r<td>10</table>t<br>u<pre> k\n  l</pre><div hidden>no</div><p style='Display: none'>no</p><script>no()</script><!-- no -->"
+    assert html_text.render(page) == "a\n\nb & c\n\n- x\n- y\n  1. 1\n  2. 2\n\nName      | Q\nApple pie | 3\nr         | 10\n\nt\nu\n\n k\n  l"
+    assert html_text.render(None) == html_text.render("") == html_text.render("<head><title>x</title></head>") == ""
+    assert html_text.render("a < b and <3 <") == "a < b and <3 <"
+    deep = html_text.render("<div>" * 3000 + "deep" + "</div>" * 3000)
+    assert deep == "deep"
+    assert html_text.render('<p title="a>b">x</p> <a href="q') == "x"
+    assert html_text.render("<td rowspan=x>q</td>" + "w " * 50000).startswith("q")
+
+
+def test_html_query(spark):
+    df = spark.createDataFrame([(1, "u", "<p>x", "t"), (2, None, None, None), (1, "u", "<p>x", "t")], "page_id long, url string, html string, text string")
+    assert sorted((r.page_id, r.text) for r in html_text.extract_text(df).collect()) == [(1, "x"), (1, "x"), (2, "")]
+    assert html_text.extract_text(df.limit(0)).count() == 0
