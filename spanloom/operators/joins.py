@@ -38,8 +38,8 @@ def attach(shots: DataFrame, turns: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("overlap").isNotNull(), F.round(F.col("overlap") * 1e6).cast("long"))).alias("covered"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("overlap").isNotNull(), F.struct("r_start", "r_speaker", "r_text")))), lambda x: x["r_text"]), " ").alias("text"),
     )
-    dur = F.col("end") - F.col("start")
-    frac = F.coalesce(F.round(F.least(F.try_divide(F.coalesce("covered", F.lit(0)) / 1e6, dur), F.lit(1.0)), 2), F.lit(0.0))
+    dur = F.round((F.col("end") - F.col("start")) * 1e6).cast("long")
+    frac = F.coalesce(F.round(F.least(F.try_divide(F.coalesce("covered", F.lit(0)), dur), F.lit(1.0)), 2), F.lit(0.0))
     return g.select("v", "ord", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), "speakers", frac.alias("speech_frac"), F.trim("text").alias("text"))
 
 

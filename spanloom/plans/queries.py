@@ -170,7 +170,7 @@ def _shots(s, d):
 
 
 @query(f"""with {TURNS}, {SHOTS}, j as (select s.v, s.ord, s."start", s."end", t.speaker, t.text, t.ord as r_ord, t."start" as rs, least(s."end", t."end") - greatest(s."start", t."start") as ov from shots s left join turns t on t.v = s.v and least(s."end", t."end") - greatest(s."start", t."start") > 0)
-select v, ord, round(any_value("start"), 2) as "start", round(any_value("end"), 2) as "end", coalesce(least(round(sum(round(ov * 1e6::double)::bigint) / 1e6::double / 20, 2), 1.0::double), 0) as speech_frac, trim(coalesce(string_agg(text, ' ' order by rs, speaker, text), '')) as text from j group by v, ord""")
+select v, ord, round(any_value("start"), 2) as "start", round(any_value("end"), 2) as "end", coalesce(least(round((sum(round(ov * 1e6::double)::bigint) / 2e7::double)::decimal(18, 9), 2)::double, 1.0::double), 0) as speech_frac, trim(coalesce(string_agg(text, ' ' order by rs, speaker, text), '')) as text from j group by v, ord""")
 def overlap_attach(s, d):
     return joins.attach(_shots(s, d), views.turns(s, d)).drop("speakers")
 
