@@ -1,9 +1,11 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax (numpy).
 
 A text's features are its character 1- to 4-grams within words (boundaries count as a character), hashed
-into ``BUCKETS`` rows of an embedding matrix.  A prediction averages the rows and applies a linear
-softmax.  Both are trained by stochastic gradient descent on a bounded sample of labelled texts.  A part
-of that sample, held back, calibrates the temperature and the score under which a text is rejected.
+into ``BUCKETS`` rows of an embedding matrix.  A prediction averages the rows, weighted by the logarithm of
+their counts (so that a line repeated a thousand times doesn't speak for the text), and applies a linear
+softmax.  Both are trained by stochastic gradient descent on a bounded sample of labelled texts and on short
+windows of them, so that short texts are known too.  A part of that sample, held back, calibrates the
+temperature and the score under which a text is rejected.
 """
 
 from __future__ import annotations
@@ -69,6 +71,16 @@ def _letters(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def bag(text: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Distinct buckets of a text and their shares; None if it has no letter."""
+    counts = np.bincount(subwords(text), minlength=BUCKETS)
+    ids = np.flatnonzero(counts)
+    if not len(ids):
+        return None
+    weights = np.log1p(counts[ids])
+    return ids, weights / weights.sum()
+
+
 class Model:
     """Languages, the softmax's rows by bucket (embedding times weights), bias, temperature and threshold."""
 
@@ -77,12 +89,8 @@ class Model:
 
     def logits(self, text: str) -> np.ndarray | None:
         """The averaged embedding's logits; None without letters.  The mean of rows equals the mean embedding times the weights."""
-        at = subwords(text)
-        if not len(at):
-            return None
-        counts = np.bincount(at, minlength=BUCKETS) if len(at) > BUCKETS else None
-        total = counts @ self.rows if counts is not None else self.rows[at].sum(axis=0)
-        return total / len(at) + self.bias
+        own = bag(text)
+        return None if own is None else own[1] @ self.rows[own[0]] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, probability, and whether it is rejected."""
@@ -99,21 +107,24 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 20.0, seed: int = 7) -> Model:
-    """Fit embeddings and softmax by SGD; every tenth text calibrates."""
+def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 2.0, windows: int = 4, seed: int = 7) -> Model:
+    """Fit embeddings and softmax by SGD on texts and windows of 2 to 40 words; every tenth text, with its windows, calibrates."""
     languages = sorted(set(labels))
     if not languages:
         return Model(["und"], np.zeros((BUCKETS, 1)), np.zeros(1))
-    bags = []
+    bags, rng = [], np.random.default_rng(seed)
     for t, label in zip(texts, labels):
-        at = subwords(t)
-        if len(at):
-            ids, n = np.unique(at, return_counts=True)
-            bags.append((ids, n / len(at), languages.index(label)))
-    rng = np.random.default_rng(seed)
+        words, own = t.split(), [t]
+        for _ in range(windows if len(words) > 2 else 0):
+            n = int(rng.integers(2, 41))
+            at = int(rng.integers(0, max(1, len(words) - n)))
+            own.append(" ".join(words[at : at + n]))
+        found = [(*x, languages.index(label)) for x in map(bag, own) if x is not None]
+        if found:
+            bags.append(found)
     order = rng.permutation(len(bags))
-    held = [bags[i] for i in order[::10]] if len(bags) >= 50 else bags
-    fit = [bags[i] for k, i in enumerate(order) if k % 10] if len(bags) >= 50 else bags
+    held = [x for i in (order[::10] if len(bags) >= 50 else order) for x in bags[i]]
+    fit = [x for k, i in enumerate(order) if k % 10 or len(bags) < 50 for x in bags[i]]
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
     w, bias = np.zeros((DIM, len(languages))), np.zeros(len(languages))
     steps, total = 0, max(1, epochs * len(fit))
@@ -133,7 +144,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 2
     z = np.array([share @ model.rows[ids] + bias for ids, share, _ in held]) if held else np.zeros((0, len(languages)))
     y = np.array([b[2] for b in held], dtype=int)
     if len(z):
-        grid = np.geomspace(0.05, 20, 60)
+        grid = np.geomspace(0.05, 5000, 120)
         losses = [-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(losses))])
         p = softmax(z / model.temperature)
