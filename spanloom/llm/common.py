@@ -9,7 +9,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MADE: dict[str, SparkSession] = {}
 
@@ -76,6 +77,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def exactly(name: str) -> Column:
+    """The column of just this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def release() -> None:
     """Give memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
     gc.collect()

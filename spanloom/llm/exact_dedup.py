@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize
+from .common import exactly, free_name, materialize
 
 
 def digest(column) -> F.Column:
@@ -67,4 +67,4 @@ def keep_unique(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     split = keyed.join(F.broadcast(winners), F.col(d) == F.col(w), "left").filter(F.col(w).isNull() | F.col(id_col).eqNullSafe(F.col(k)))
     n = free_name(split, "n")
     order = Window.partitionBy(d).orderBy(F.col(id_col).desc_nulls_last())
-    return split.withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1).select(*df.columns)
+    return split.withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1).select(*map(exactly, df.columns))

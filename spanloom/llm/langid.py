@@ -186,12 +186,13 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, whose text's language is not rejected."""
+    at = df.columns.index(text_col)
     value = df.sparkSession.sparkContext.broadcast((model.languages, model.rows, model.bias, model.temperature, model.threshold))
 
     def run(batches):
         own = Model(*value.value)
         for b in batches:
-            at = b.schema.names.index(text_col)
             yield b.filter(pa.array([not own.predict(t)[2] for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(lean(run), df.schema)
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # names with dots can't be mapped
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*df.columns)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, remove
+from .common import exactly, free_name, materialize, remove
 
 # Titles and given names that say a person's gender, by script, and syllables of surnames.
 TITLES_M = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Signor", "Sir", "Господин")
@@ -234,5 +234,5 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text", count_col: str
     done = marked.join(by_text, d).withColumn(text_col, text)
     count = {count_col: F.size(n)} if count_col else {}
     zero = {count_col: F.lit(0)} if count_col else {}
-    columns = [*df.columns, *([count_col] if count_col else [])]
+    columns = [exactly(c) for c in (*df.columns, *([count_col] if count_col else []))]
     return clean.withColumns(zero).select(*columns).unionByName(done.withColumns(count).select(*columns))

@@ -16,7 +16,7 @@ from spanloom.llm.components import connected_components
 from spanloom.llm.exact_dedup import exact_dedup, keep_unique
 from spanloom.llm.queries import vocabulary
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, part int, node long, label string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, part int, node long, label string, `x.y` string"
 
 
 def word(r):
@@ -41,7 +41,7 @@ def texts():
 
 @pytest.fixture(scope="module")
 def docs(spark, texts):
-    return spark.createDataFrame([(i, t, "en", None, None, "x", 1, 2, "y") for i, t in texts], SCHEMA).repartition(3).cache()
+    return spark.createDataFrame([(i, t, "en", None, None, "x", 1, 2, "y", "z") for i, t in texts], SCHEMA).repartition(3).cache()
 
 
 @pytest.fixture(scope="module")
@@ -198,6 +198,8 @@ def test_language_id(spark, none):
     assert [r.lang_pred for r in out][:3] == ["und"] * 3 and out[3].lang_pred == "en" and all(r.rejected for r in out[:3])
     assert langid.identify(none, model).count() == 0 and langid.fit_language_model(none).predict("abc")[0] == "und"
     assert langid.keep_identified(odd, model).count() == 2
+    dotted = odd.withColumn("x.y", F.lit(1)).withColumn("score", F.lit("s"))
+    assert langid.keep_identified(dotted, model).columns == dotted.columns and langid.keep_identified(dotted, model).count() == 2
 
 
 def test_lm_scores(docs, texts, none):
@@ -276,7 +278,8 @@ def luhn(d):
 
 
 def test_pii(spark, none):
-    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(PEOPLE + PEOPLE[:1])], "doc_id long, text string, digest string")
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(PEOPLE + PEOPLE[:1])], "doc_id long, text string, digest string").withColumn("x.y", F.lit(1))
+    assert pii.pseudonymize(df, "k").columns == df.columns
     out = [r.text for r in pii.pseudonymize(df, "k").orderBy("doc_id").collect()]
     assert out[4:7] == PEOPLE[4:7] and out[0] == out[7] and out[0] != PEOPLE[0]
     for secret in ("anna.b@", "ANNA.B@", "555-2671", "4111", "10.20.30.40", "DE8937", "123-45-6789", "1A:2B", "Smith", "Jones", "0123456789abcdef", "Петрова"):
