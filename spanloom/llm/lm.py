@@ -2,14 +2,16 @@
 
 The model predicts the next token's *unit* from the ``CONTEXT`` units before it: the most frequent
 ``WORDS`` tokens and the end are units of their own, any other token belongs to one of ``CLASSES`` units by a
-hash of its last two bytes.  A context's representation is the sum over positions of unit vector times
-position weights; a unit's score is its product with the unit's output vector, plus a bias.
-Normalised log-probabilities come from one matrix product and one log-sum-exp for each block of tokens.
-Within a class a token has its smoothed share of the class's training count, so that the
+hash of its last two bytes.  Every further token seen ``LEAST`` times or more is a *member* of its class, with
+vectors of its own, so the modelled vocabulary grows with the corpus.  A context's representation is the sum over
+positions of the vector of the word, member or class there, times position weights; a unit's score is its product with
+the unit's output vector, plus a bias, and a second softmax over a class's members and the rest tells these apart.
+Normalised log-probabilities come from one matrix product and one log-sum-exp for each block of tokens and level.
+Within the rest of a class a token has its smoothed share of the rest's training count, so that the
 probabilities of all tokens, known or not, sum to one.
 
 Training makes one pass over *all* training texts: each task runs NCE on its own texts from a common
-start and the parameters are averaged by tokens seen.  Counts cover all training tokens, exactly.
+start and the parameters are averaged by tokens seen.  Members' output vectors learn by softmax gradients.  Counts cover all training tokens, exactly.
 The vocabulary of any size stays distributed: only the ``HEAD`` most frequent counts are broadcast, and the
 other tokens' counts meet the documents in a join.
 """
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-WORDS, CLASSES, CONTEXT, DIM = 128, 63, 3, 16
+WORDS, CLASSES, CONTEXT, DIM = 192, 63, 3, 16
 UNITS = WORDS + CLASSES + 1
 END, START = UNITS - 1, UNITS
 HEAD = 1 << 16
-NOISE, BATCH, RATE = 32, 2048, 0.1
+LEAST = 10_000
+NOISE, BATCH, RATE = 48, 1024, 0.1
 END_TOKEN = b" "  # no word holds a space
 
 
@@ -67,7 +69,7 @@ def _counts(batches):
 
 
 def units_of(words: list[bytes], index: dict[bytes, int]) -> list[int]:
-    """Unit numbers of words, without the end."""
+    """Numbers of words, without the end: of units, or of members from ``START`` + 1 on."""
     return [u if (u := index.get(w)) is not None else class_of(w) for w in words]
 
 
@@ -75,19 +77,42 @@ def contexts(units: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each token of texts laid end to end, the ``CONTEXT`` units before it, nearest first."""
     n = len(units)
     since = np.arange(n) - starts
-    out = np.full((n, CONTEXT), START, dtype=np.int16)
+    out = np.full((n, CONTEXT), START, dtype=np.int32)
     for j in range(CONTEXT):
         ok = np.flatnonzero(since > j)
         out[ok, j] = units[ok - j - 1]
     return out
 
 
+def _sums(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids and the sums of their rows of values."""
+    distinct, which = np.unique(ids, return_inverse=True)
+    at = (which[:, None] * DIM + np.arange(DIM)).ravel()
+    return distinct, np.bincount(at, values.ravel(), len(distinct) * DIM).reshape(-1, DIM).astype(np.float32)
+
+
 class Lbl:
-    """Parameters: input vectors (by unit), position weights, output vectors, biases."""
+    """Parameters: input vectors (by unit and member), position weights, output vectors, biases; the latter two for members, too.
 
-    def __init__(self, counts: np.ndarray, seed: int = 5):
+    ``members`` has the members' counts by class, ``rest`` the mass of what else is in each class.
+    """
+
+    def __init__(self, counts: np.ndarray, members: list[np.ndarray] | None = None, rest: np.ndarray | None = None, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.r = rng.normal(0, 0.1, (UNITS + 1, DIM)).astype(np.float32)
+        members = members if members is not None else [np.zeros(0)] * CLASSES
+        rest = rest if rest is not None else np.ones(CLASSES)
+        sizes = np.array([len(m) for m in members])
+        total = int(sizes.sum())
+        self.base = np.concatenate([[0], np.cumsum(sizes + 1)])  # where each class's slots begin; its last is the rest's
+        of = np.repeat(np.arange(CLASSES), sizes)
+        self.unit = np.concatenate([np.arange(UNITS + 1), WORDS + of]).astype(np.int32)
+        self.slot = np.full(UNITS + 1 + total, -1, dtype=np.int32)
+        self.slot[WORDS:END] = self.base[1:] - 1
+        self.slot[UNITS + 1 :] = np.arange(total) + of
+        self.r = rng.normal(0, 0.1, (UNITS + 1 + total, DIM)).astype(np.float32)
+        self.q_in = np.zeros((total + CLASSES, DIM), dtype=np.float32)
+        share = [np.append(m + 0.5, r) for m, r in zip(members, rest)]
+        self.b_in = np.log(np.concatenate([x / x.sum() for x in share])).astype(np.float32)
         self.c = np.ones((CONTEXT, DIM), dtype=np.float32) / np.arange(1, CONTEXT + 1, dtype=np.float32)[:, None]
         self.q = np.zeros((UNITS, DIM), dtype=np.float32)
         p = (counts + 0.5) / (counts + 0.5).sum()
@@ -96,7 +121,7 @@ class Lbl:
         self.log_noise = self.b.copy()
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.r, self.c, self.q, self.b]
+        return [self.r, self.c, self.q, self.b, self.q_in, self.b_in]
 
     def set(self, flat: np.ndarray) -> None:
         at = 0
@@ -108,14 +133,53 @@ class Lbl:
         return np.concatenate([p.ravel() for p in self.parameters()])
 
     def hidden(self, ctx: np.ndarray) -> np.ndarray:
-        table = (self.r[:, None, :] * self.c[None]).astype(np.float32)  # vector times weights, by unit and position
-        h = table[ctx[:, 0], 0]
+        h = self.r[ctx[:, 0]] * self.c[0]
         for j in range(1, CONTEXT):
-            h = h + table[ctx[:, j], j]
+            h += self.r[ctx[:, j]] * self.c[j]
         return h
 
+    def by_class(self, ids: np.ndarray):
+        """The classes with members that tokens are in, and the tokens' places."""
+        own = np.flatnonzero(self.slot[ids] >= 0)
+        k = self.unit[ids[own]] - WORDS
+        order = np.argsort(k, kind="stable")
+        cuts = np.searchsorted(k[order], np.arange(CLASSES + 1))
+        for c in range(CLASSES):
+            if cuts[c + 1] > cuts[c] and self.base[c + 1] - self.base[c] > 1:
+                yield c, own[order[cuts[c] : cuts[c + 1]]]
+
+    def add_members(self, ctx: np.ndarray, ids: np.ndarray, logs: np.ndarray) -> None:
+        """Adds to ``logs`` the natural-log probabilities of members and rests within their classes."""
+        for c, places in self.by_class(ids):
+            low, high = self.base[c], self.base[c + 1]
+            step = max(1, (1 << 21) // (high - low))
+            for a in range(0, len(places), step):
+                own = places[a : a + step]
+                z = self.hidden(ctx[own]) @ self.q_in[low:high].T + self.b_in[low:high]
+                z -= z.max(axis=1)[:, None]
+                z_own = z[np.arange(len(own)), self.slot[ids[own]] - low].astype(np.float64)
+                logs[own] += z_own - np.log(np.exp(z, out=z).sum(axis=1, dtype=np.float64))
+
+    def step_members(self, ctx: np.ndarray, ids: np.ndarray, rate: float) -> None:
+        """Softmax gradient steps of the members' and rests' output vectors and biases, class by class."""
+        for c, places in self.by_class(ids):
+            low, high = self.base[c], self.base[c + 1]
+            q, b = self.q_in[low:high], self.b_in[low:high]
+            step = max(1, min(BATCH, (1 << 21) // (high - low)))
+            for a in range(0, len(places), step):
+                own = places[a : a + step]
+                h = self.hidden(ctx[own])
+                z = h @ q.T + b
+                z -= z.max(axis=1)[:, None]
+                np.exp(z, out=z)
+                z /= -z.sum(axis=1)[:, None]
+                z[np.arange(len(own)), self.slot[ids[own]] - low] += 1
+                scale = rate / math.sqrt(len(own))
+                q += scale * np.clip(z.T @ h, -50, 50)
+                b += scale * 0.1 * np.clip(z.sum(axis=0), -50, 50)
+
     def log_probs(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Normalised natural-log probabilities of the targets."""
+        """Normalised natural-log probabilities of the target units."""
         z = self.hidden(ctx) @ self.q.T
         z += self.b
         own = z[np.arange(len(target)), target].astype(np.float64)
@@ -136,33 +200,24 @@ class Lbl:
         g_pos = 1 / (1 + np.exp(np.clip(pos, -30, 30)))
         g_neg = -1 / (1 + np.exp(-np.clip(neg, -30, 30)))
         g_h = g_pos[:, None] * q_t + g_neg @ q_n
-        hot = np.zeros((UNITS, n), dtype=np.float32)
-        hot[target, np.arange(n)] = g_pos
-        d_q = hot @ h
-        d_b = hot.sum(axis=1)
+        d_q, d_b = np.zeros_like(self.q), np.bincount(target, g_pos, UNITS).astype(np.float32)
+        units, sums = _sums(target, g_pos[:, None] * h)
+        d_q[units] = sums
         np.add.at(d_q, noise, g_neg.T @ h)
         np.add.at(d_b, noise, g_neg.sum(axis=0))
-        d_r = np.zeros_like(self.r)
-        d_c = np.zeros_like(self.c)
-        spread = np.zeros((UNITS + 1, n), dtype=np.float32)
-        cols = np.arange(n)
-        for j in range(CONTEXT):
-            spread[ctx[:, j], cols] = 1
-            by_unit = spread @ g_h
-            spread[ctx[:, j], cols] = 0
-            d_r += by_unit * self.c[j]
-            d_c[j] = (by_unit * self.r).sum(axis=0)
+        d_c = np.stack([(g_h * self.r[ctx[:, j]]).sum(axis=0) for j in range(CONTEXT)])
+        seen, d_r = _sums(ctx.T.ravel(), np.concatenate([g_h * self.c[j] for j in range(CONTEXT)]))
         scale = rate / math.sqrt(n)
         self.q += scale * np.clip(d_q, -50, 50)
         self.b += scale * 0.1 * np.clip(d_b, -50, 50)
-        self.r += scale * np.clip(d_r, -50, 50)
+        self.r[seen] += scale * np.clip(d_r, -50, 50)
         self.c += scale * 0.01 * np.clip(d_c, -50, 50)
 
 
 def _laid_out(texts: list[list[bytes]], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units of texts end to end, each with its end; where each token's text starts; the texts' lengths."""
+    """Units and members of texts end to end, each with its end; where each token's text starts; the texts' lengths."""
     lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    units = np.fromiter((u for t in texts for u in (*units_of(t, index), END)), dtype=np.int16, count=int(lengths.sum()))
+    units = np.fromiter((u for t in texts for u in (*units_of(t, index), END)), dtype=np.int32, count=int(lengths.sum()))
     return units, np.repeat(np.cumsum(lengths) - lengths, lengths), lengths
 
 
@@ -180,19 +235,20 @@ def _groups(batches, column: int, at_once: int = 2 << 20):
             at = end
 
 
-def _train(index: dict[bytes, int], counts: np.ndarray, block: int = 1024):
+def _train(index: dict[bytes, int], given: tuple, block: int = 1024):
     """NCE over a task's texts; the parameters in blocks, weighted by tokens."""
 
     def run(batches):
-        model, seen, rng = Lbl(counts), 0, np.random.default_rng(1)
+        model, seen, rng = Lbl(*given), 0, np.random.default_rng(1)
         for _, _, texts in _groups(batches, 0):
-            units, starts, _ = _laid_out(texts, index)
-            ctx = contexts(units, starts)
+            ids, starts, _ = _laid_out(texts, index)
+            ctx, units = contexts(ids, starts), model.unit[ids]
             order = rng.permutation(len(units))
             for a in range(0, len(order), BATCH):
                 pick = order[a : a + BATCH]
                 seen += len(pick)
                 model.step(ctx[pick], units[pick], RATE / (1 + seen / 2e6), rng)
+            model.step_members(ctx[order], ids[order], RATE / (1 + seen / 2e6))
         if seen:
             flat = model.flat().astype(np.float64)
             parts = [flat[a : a + block] * seen for a in range(0, len(flat), block)]
@@ -228,30 +284,40 @@ def score_documents(df: DataFrame, train: F.Column, id_col: str = "doc_id", text
         if n > room:
             break
         room, least = room - n, low
-    top = counts.filter(F.col("c") >= least).collect() if least is not None else []
+    # members are in the head however many there are
+    top = counts.filter(F.col("c") >= (LEAST if least is None else min(least, LEAST))).collect()
     head = {bytes(r[0]): r[1] for r in sorted(top, key=lambda r: (-r[1], bytes(r[0])))}
-    index = {t: k for k, t in enumerate(islice((t for t in head if t != END_TOKEN), WORDS))}
-    # counts by unit, and what smoothing spreads within a class: 0.5 a known token, 0.5 an unknown one in all
-    known = F.col("token").isin([*index, END_TOKEN]) if head else F.lit(False)
+    ranked = [t for t in head if t != END_TOKEN]
+    index = {t: k for k, t in enumerate(ranked[:WORDS])}
+    # counts by unit, and what smoothing spreads within a class's rest: 0.5 a known token, 0.5 an unknown one in all
     size = F.octet_length("token")
     byte = lambda at: F.conv(F.hex(F.substring("token", at, 1)), 16, 10).cast("int")
     by_class = {
-        r[0]: (r[1], r[2])
-        for r in counts.filter(~known)
+        r[0]: [r[1], r[2]]
+        for r in counts.filter(F.col("token") != F.lit(END_TOKEN))
         .groupBy((F.lit(WORDS) + F.pmod(byte(-1) * 31 + F.when(size > 1, F.conv(F.hex(F.expr("substring(token, octet_length(token) - 1, 1)")), 16, 10).cast("int") * 7).otherwise(0), F.lit(CLASSES))).alias("u"))
         .agg(F.sum("c"), F.count("*"))
         .collect()
     }
+    for t in index:
+        by_class[class_of(t)][0] -= head[t]
+        by_class[class_of(t)][1] -= 1
     unit_counts, mass = np.zeros(UNITS), np.ones(UNITS)
     for t, k in index.items():
         unit_counts[k] = head[t]
     unit_counts[END] = head.get(END_TOKEN, 0)
-    for u in range(WORDS, END):
+    members: list[list[bytes]] = [[] for _ in range(CLASSES)]
+    for t in ranked[WORDS:]:
+        if head[t] >= LEAST:
+            members[class_of(t) - WORDS].append(t)
+    for u, own in zip(range(WORDS, END), members):
         c, v = by_class.get(u, (0, 0))
-        unit_counts[u], mass[u] = c, c + 0.5 * (v + 1)
-    model = Lbl(unit_counts)
+        unit_counts[u], mass[u] = c, c - sum(head[t] for t in own) + 0.5 * (v - len(own) + 1)
+    index |= {t: START + 1 + k for k, t in enumerate(t for own in members for t in own)}
+    given = unit_counts, [np.array([head[t] for t in own], dtype=float) for own in members], mass[WORDS:END]
+    model = Lbl(*given)
     if total:
-        sums = learn.mapInArrow(_train(index, unit_counts), "block int, tokens long, sums array<double>")
+        sums = learn.mapInArrow(_train(index, given), "block int, tokens long, sums array<double>")
         means = sums.groupBy("block").applyInArrow(_average, "block int, mean array<double>").orderBy("block").collect()
         model.set(np.concatenate([r[1] for r in means]).astype(np.float32))
     share = spark.sparkContext.broadcast((head, index, mass, model))
@@ -263,14 +329,15 @@ def score_documents(df: DataFrame, train: F.Column, id_col: str = "doc_id", text
         cost = {t: math.log10(c + 0.5) for t, c in head.items()}
         seen, partition = 0, TaskContext.get().partitionId()
         for b, at, texts in _groups(batches, 2):
-            units, starts, lengths = _laid_out(texts, index)
-            ctx = contexts(units, starts)
+            ids, starts, lengths = _laid_out(texts, index)
+            ctx, units = contexts(ids, starts), model.unit[ids]
             logs = np.empty(len(units))
             for a in range(0, len(units), 8192):
                 logs[a : a + 8192] = model.log_probs(ctx[a : a + 8192], units[a : a + 8192])
+            model.add_members(ctx, ids, logs)
             logs = logs / math.log(10)
-            in_class = (units >= WORDS) & (units < END)
-            logs[in_class] -= log_mass[units[in_class]]
+            in_rest = (ids >= WORDS) & (ids < END)
+            logs[in_rest] -= log_mass[ids[in_rest]]
             ends = np.cumsum(lengths)
             model_sum = np.add.reduceat(logs, ends - lengths)
             n_head, base, extra, tails, tail_n, owner = [], [], [], [], [], []

@@ -220,6 +220,33 @@ def test_lm_scores(docs, texts, none):
     assert lm.score_documents(docs, F.lit(False)).filter("n_known > 0 or train_tokens > 0").count() == 0
 
 
+def test_lm_models_frequent_tokens_by_context(spark, monkeypatch):
+    """Two tokens of one class and one count, beyond the units, are told apart by what stands before them."""
+    r = random.Random(8)
+    parts = [f"f{i}" for i in range(210)] * 300 + ["left qaab", "right waab"] * 250
+    r.shuffle(parts)
+    lines = [" ".join(parts[a : a + 50]) for a in range(0, len(parts), 50)] + ["left qaab", "left waab", "right qaab", "right waab"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string").coalesce(2)
+    n = len(lines) - 4
+    assert lm.class_of(b"qaab") == lm.class_of(b"waab")
+    monkeypatch.setattr(lm, "LEAST", 200, raising=False)
+    got = {r.doc_id - n: (r.base_score, r.score) for r in lm.score_documents(df, F.col("doc_id") < n).filter(F.col("doc_id") >= n).collect()}
+    assert math.isclose(got[0][0], got[1][0])
+    assert got[0][1] > got[1][1] + 1e-6 and got[3][1] > got[2][1] + 1e-6
+
+
+def test_lm_member_probabilities_sum_to_one():
+    rng = np.random.default_rng(0)
+    model = lm.Lbl(np.arange(lm.UNITS, dtype=float), [np.arange(1.0, 5)] * lm.CLASSES)
+    ids = rng.integers(lm.WORDS, len(model.unit), 4000)
+    ids = ids[(ids < lm.END) | (ids > lm.START)].astype(np.int32)
+    model.step_members(rng.integers(0, len(model.unit), (len(ids), lm.CONTEXT)), ids, 0.1)
+    own = np.array([lm.WORDS, *np.flatnonzero(model.unit[lm.START + 1 :] == lm.WORDS) + lm.START + 1])
+    logs = np.zeros(5)
+    model.add_members(np.tile(rng.integers(0, len(model.unit), (1, lm.CONTEXT)), (5, 1)), own, logs)
+    assert len(own) == 5 and math.isclose(np.exp(logs).sum(), 1, rel_tol=1e-5)
+
+
 def test_lm_probabilities_sum_to_one():
     model = lm.Lbl(np.arange(lm.UNITS, dtype=float))
     rng = np.random.default_rng(0)
