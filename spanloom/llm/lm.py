@@ -284,8 +284,8 @@ def score_documents(df: DataFrame, train: F.Column, id_col: str = "doc_id", text
         if n > room:
             break
         room, least = room - n, low
-    # members are in the head however many there are
-    top = counts.filter(F.col("c") >= (LEAST if least is None else min(least, LEAST))).collect()
+    # members are in the head however many there are, and so is the end, which the later join does not count
+    top = counts.filter((F.col("c") >= (LEAST if least is None else min(least, LEAST))) | (F.col("token") == F.lit(END_TOKEN))).collect()
     head = {bytes(r[0]): r[1] for r in sorted(top, key=lambda r: (-r[1], bytes(r[0])))}
     ranked = [t for t in head if t != END_TOKEN]
     index = {t: k for k, t in enumerate(ranked[:WORDS])}

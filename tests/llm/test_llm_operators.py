@@ -220,6 +220,16 @@ def test_lm_scores(docs, texts, none):
     assert lm.score_documents(docs, F.lit(False)).filter("n_known > 0 or train_tokens > 0").count() == 0
 
 
+def test_lm_counts_the_end_beyond_the_head(spark, monkeypatch):
+    """One long training text: every word is more frequent than the end, which still has its exact count."""
+    monkeypatch.setattr(lm, "HEAD", 2)
+    df = spark.createDataFrame([(0, "a b c d a b c d a b c d"), (1, "a"), (2, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score_documents(df, F.col("doc_id") == 0).collect()}
+    p = {"a": math.log10(3.5 / 16), "end": math.log10(1.5 / 16)}
+    assert (got[1].n_known, got[2].n_known) == (2, 1)
+    assert math.isclose(got[1].base_score, p["a"] + p["end"]) and math.isclose(got[2].base_score, p["end"])
+
+
 def test_lm_models_frequent_tokens_by_context(spark, monkeypatch):
     """Two tokens of one class and one count, beyond the units, are told apart by what stands before them."""
     r = random.Random(8)
