@@ -53,12 +53,17 @@ ENTITY = "|".join(p.replace(r"([ -])", r"(?<sep>[ -])").replace(r"\1", r"\k<sep>
 PERSON_HINT = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLES}|{_NAMES})\.? \p{{Lu}}"
 
 
+#: Entities that may hold neither a digit nor @, besides persons and keyed secrets: keys by prefix, MAC and IPv6.
+KEY_HINT = r"(?=[spgxA])(?<![\p{L}\p{N}_+/-])(?:sk|pk|gh[pos]|xox[bp]|A[KS]IA)[-_A-Za-z0-9]{16}"
+ADDRESS_HINT = r"(?:[A-Fa-f]{2}[:-]){5}[A-Fa-f]{2}|(?:[A-Fa-f]{1,4}:){7}[A-Fa-f]"
+
+
 def may_hold(text: Column) -> Column:
     """Whether a text may hold an entity: true of all that do, and cheap."""
-    keyed = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
+    colon, dash = F.contains(text, F.lit(":")), F.contains(text, F.lit("-"))
+    keyed = F.contains(text, F.lit("=")) | colon
     secret = F.contains(text, F.lit("token")) | F.contains(text, F.lit("secret")) | F.contains(text, F.lit("passw")) | F.contains(text, F.lit("key"))
-    long = text.rlike("(?:sk|pk|gh[pos]|xox[bp])[-_]")
-    return text.rlike("[@0-9]") | (keyed & secret) | text.rlike(PERSON_HINT) | (F.contains(text, F.lit("_")) | F.contains(text, F.lit("-"))) & long
+    return text.rlike("[@0-9]") | (keyed & secret) | text.rlike(PERSON_HINT) | text.rlike(KEY_HINT) | (colon | dash) & text.rlike(ADDRESS_HINT)
 
 
 def mentions(text: Column) -> Column:
