@@ -89,7 +89,7 @@ def shingle_hashes(column: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray
     m = len(words)
     multipliers = mix64(np.arange(101, 101 + k, dtype=np.uint64))
     full = np.zeros(max(m - k + 1, 0), dtype=np.uint64)
-    for j in range(k):
+    for j in range(k if m >= k else 0):
         full += words[j : m - k + 1 + j] * multipliers[j]
     full = mix64(full)
     per_doc = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))

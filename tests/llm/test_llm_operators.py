@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import ann, bpe, html_text, langid, lm, ngram_join, packing, pii, sharding
+from spanloom.llm import ann, bpe, html_text, langid, lm, ngram_join, packing, pii, sharding, shingles
 from spanloom.llm.components import connected_components
 from spanloom.llm.exact_dedup import exact_dedup, keep_unique
 from spanloom.llm.queries import vocabulary
@@ -103,6 +104,20 @@ def test_ngram_join(docs, texts, none, rounds, monkeypatch):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_shingles_of_one_short_text(n):
+    short, long = " ".join("abcde"[:n]), "word " * 900_000
+    h, ends = shingles.shingle_hashes(pa.array([short]))
+    assert len(h) == 1 and list(ends) == [0, 1]
+    cut = [shingles.shingle_hashes(part) for _, part in shingles.slices(pa.array([short, long]))]
+    assert len(cut) == 2 and cut[0][0].tolist() == h.tolist() and len(cut[1][0]) == 1
+
+
+def test_ngram_join_of_one_short_text(spark):
+    df = spark.createDataFrame([(7, "one two three")], "doc_id long, text string")
+    assert [tuple(r) for r in ngram_join.jaccard_components(df).collect()] == [(7, 1, 7)]
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(40)]
