@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 # Element names by role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title meta link base noscript iframe object embed audio video canvas svg math datalist param source track noembed noframes select".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+HIDDEN = frozenset("head script style template title meta link base noscript iframe object embed audio video canvas datalist param source track noembed noframes defs desc metadata symbol clippath mask marker pattern annotation annotation-xml".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset menu dir".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -29,12 +29,16 @@ IMPLIED = {
     "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
     "option": (("option",), ("select", "datalist", "optgroup")), "optgroup": (("option", "optgroup"), ("select",)),
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
-    "tr": (("td", "th", "tr"), ("table",)),
+    "tr": (("td", "th", "tr", "caption", "colgroup"), ("table",)),
     "tbody": (("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)),
     "thead": (("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)),
     "tfoot": (("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)),
-    "body": (("head",), ("html",)),
+    "body": (("head",), ("html",)), "caption": (("caption", "colgroup"), ("table",)), "colgroup": (("caption", "colgroup"), ("table",)), "col": (("caption",), ("table",)),
 }
+GROUPS = ("tbody", "thead", "tfoot")
+#: Where a cell, a row and the rest of a table's parts may stand.
+HOLDERS = {"td": ("tr", *GROUPS, "table"), "th": ("tr", *GROUPS, "table"), "tr": (*GROUPS, "table"), **{x: ("table",) for x in (*GROUPS, "caption", "colgroup")}}
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template noframes head".split())
 DEEPEST = 300
 
 _TAG_END = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
@@ -74,13 +78,36 @@ def _close(at: Node, names: tuple[str, ...], stops) -> Node:
     return found.parent if found is not None and found.parent is not None else at
 
 
+def _holder(at: Node, names: tuple[str, ...]) -> Node:
+    """The nearest open element of ``names``, if no cell, caption or end of a table stands between; else ``at``."""
+    node = at
+    while node is not None and node.name not in names:
+        if node.name in ("td", "th", "caption", "table", "template"):
+            return at
+        node = node.parent
+    return node or at
+
+
+def _foreign(at: Node) -> bool:
+    """Whether an element is part of a drawing or a formula, where tags may close themselves."""
+    node = at
+    while node is not None and node.name not in ("svg", "math", "foreignobject"):
+        node = node.parent
+    return node is not None and node.name != "foreignobject"
+
+
 def parse(source: str) -> Node:
     """The tree of a page."""
     root = Node("#document", {}, None)
     at, pos, n = root, 0, len(source)
 
+    foreign = "<svg" in (low := source.lower()) or "<math" in low
+
     def text(a: int, b: int) -> None:
+        nonlocal at
         if b > a:
+            if at.name in ("head", "colgroup") and at.parent and not source[a:b].isspace():
+                at = at.parent
             at.children.append(html.unescape(source[a:b]))
 
     while pos < n:
@@ -130,8 +157,16 @@ def parse(source: str) -> Node:
             elif name == "p":
                 at.children.append(Node("p", {}, at))
             continue
+        if at.parent and (at.name == "head" and name not in IN_HEAD or at.name == "colgroup" and name not in ("col", "template")):
+            at = at.parent
         if name in IMPLIED:
             at = _close(at, *IMPLIED[name])
+        if name in HOLDERS:
+            at = _holder(at, HOLDERS[name])
+            if name in ("td", "th") and at.name in HOLDERS["tr"]:
+                row = Node("tr", {}, at)
+                at.children.append(row)
+                at = row
         if name in CLOSES_P:
             at = _close(at, ("p",), SCOPE)
             if name in HEADINGS and at.name in HEADINGS and at.parent:
@@ -139,7 +174,7 @@ def parse(source: str) -> Node:
         inner = source[named.end() : stop - 1]
         node = Node(name, _attributes(inner) if inner.strip(" /\n\t\r") else {}, at)
         at.children.append(node)
-        if name in VOID:
+        if name in VOID or (foreign and source[stop - 2] == "/" and _foreign(at)) or (name in ("svg", "math") and source[stop - 2] == "/"):
             continue
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, pos)
@@ -255,6 +290,8 @@ def _table(node: Node, flow: Flow) -> None:
     rows: list[Node] = []
     captions: list[Node] = []
     _rows(node, rows, captions)
+    _strays(node, flow)
+    flow.end_line()
     for caption in captions:
         flow.add(_block(caption))
     grid: list[list[tuple[int, int, list[str]]]] = []  # per row: (column, span, lines)
@@ -304,13 +341,21 @@ def _table(node: Node, flow: Flow) -> None:
                 parts.append((lines[k] if k < len(lines) else "").ljust(room))
                 column = at + wide
             flow.add([(" | " if last > 1 else "").join(parts).rstrip()])
-    for child in node.children:  # text that stands outside of cells is shown as well
+
+
+def _strays(node: Node, flow: Flow) -> None:
+    """What stands in a table outside of its rows and captions; a browser shows it before the table."""
+    for child in node.children:
         if isinstance(child, str):
             if child.strip():
                 flow.say(child)
-        elif child.name not in ("tr", "tbody", "thead", "tfoot", "caption", "colgroup", "col"):
+        elif child.name in GROUPS:
+            if visible(child):
+                _strays(child, flow)
+        elif child.name == "colgroup":
+            _strays(child, flow)
+        elif child.name not in ("tr", "caption", "col"):
             _element(child, flow)
-    flow.end_line()
 
 
 def _element(node: Node, flow: Flow) -> None:
@@ -325,11 +370,18 @@ def _element(node: Node, flow: Flow) -> None:
         kind = node.attributes.get("type", "text").lower()
         if kind in ("submit", "button", "reset") and node.attributes.get("value"):
             flow.say(f" {node.attributes['value']} ")
+    elif name == "text":
+        flow.say(" ")
+        _children(node, flow)
+        flow.say(" ")
     elif name not in BLOCK:
         _children(node, flow)
     else:
         edge = flow.space if name in SPACED and not (name in ("ul", "ol") and _in_item(node)) else flow.end_line
         edge()
+        if name == "optgroup" and node.attributes.get("label"):
+            flow.say(node.attributes["label"])
+            flow.end_line()
         if name == "pre":
             parts: list[str] = []
             _verbatim(node, parts)

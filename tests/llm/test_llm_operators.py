@@ -378,6 +378,32 @@ def test_html():
     assert html_text.render("<td rowspan=x>q</td>" + "w " * 50000).startswith("q")
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<table><thead><th>A</th><th>B</th></thead><tbody><td>x<td>y</table>", "A | B\nx | y"),
+        ("<table><td>x<td>y<tr><td>z</table>", "x | y\nz"),
+        ("<table><colgroup><col><tr><td>x<td>y</table>z", "x | y\n\nz"),
+        ("<table><colgroup><col><td>x</table>", "x"),
+        ("<table><caption>c<tr><td>x</table>", "c\nx"),
+        ("<table><tbody>stray<tr><td>x</td></tr><b>bold</b></tbody>more</table>", "strayboldmore\nx"),
+        ("<table><tr><td>x</td></tr><tfoot>foot</tfoot></table>", "foot\nx"),
+        ("<table><tbody><div>d<tr><td>x</table>", "d\nx"),
+        ("<table><tr><td><table><td>in</table><td>out</table>", "in | out"),
+        ("<head><title>t</title><p>text", "text"),
+        ("<html><head><meta charset=utf-8><title>t</title>text", "text"),
+        ("<head><title>t</title><style>s</style></head><body>text", "text"),
+        ("<p>a<svg><title>t</title><defs><text>no</text></defs><path d='m'/><text x=1>one</text><text>two</text></svg>b", "a one two b"),
+        ("x<svg/>y", "xy"),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "x=2"),
+        ("<select><option>a<option>b<optgroup label=g><option>c</select>", "a\nb\ng\nc"),
+        ("<select hidden><option>a</select><datalist><option>b</datalist>c", "c"),
+    ],
+)
+def test_html_implied_tags_keep_the_text(page, want):
+    assert html_text.render(page) == want
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", "<p>x", "t"), (2, None, None, None), (1, "u", "<p>x", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text) for r in html_text.extract_text(df).collect()) == [(1, "x"), (1, "x"), (2, "")]
