@@ -23,7 +23,6 @@ DIM = 16
 NGRAMS = (1, 2, 3, 4)
 #: At most about so many labelled texts of a language are learnt from, drawn by a hash of the id.
 SAMPLE_PER_LANGUAGE = 1000
-MAX_LANGUAGES = 500
 #: Share of good texts that rejection may cost, and the most that a rejected text may score.
 FALSE_REJECTS, REJECT_UNDER = 0.001, 0.5
 
@@ -157,7 +156,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 2.
 def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Train on about ``per_language`` whole texts of each language (a bounded sample, drawn by a hash of the id)."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count")).limit(MAX_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("l")).count().collect()}
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     wanted = F.lit(False)
     for n in sorted({*counts.values()}):

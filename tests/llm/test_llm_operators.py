@@ -217,6 +217,12 @@ def test_language_id(spark, none):
     assert langid.keep_identified(dotted, model).columns == dotted.columns and langid.keep_identified(dotted, model).count() == 2
 
 
+def test_language_id_learns_every_label(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2, raising=False)
+    df = spark.createDataFrame([(i, f"{x * 3} {x} text", x) for i, x in enumerate(["ab", "cd", "ef", "gh"] * 10)], "doc_id long, text string, lang string")
+    assert set(langid.fit_language_model(df).languages) == {"ab", "cd", "ef", "gh"}
+
+
 def test_lm_scores(docs, texts, none):
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
     got = lm.score_documents(docs, train).collect()
