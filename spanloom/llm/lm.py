@@ -1,127 +1,201 @@
 """LM scoring: a log-bilinear neural model trained with noise-contrastive estimation (numpy).
 
-The model predicts the next token's *unit* from the ``CONTEXT`` units before it: the most frequent
-``WORDS`` tokens and the end are units of their own, any other token belongs to one of ``CLASSES`` units by a
-hash of its last two bytes.  Every further token seen ``LEAST`` times or more is a *member* of its class, with
-vectors of its own, so the modelled vocabulary grows with the corpus.  A context's representation is the sum over
-positions of the vector of the word, member or class there, times position weights; a unit's score is its product with
-the unit's output vector, plus a bias, and a second softmax over a class's members and the rest tells these apart.
-Normalised log-probabilities come from one matrix product and one log-sum-exp for each block of tokens and level.
-Within the rest of a class a token has its smoothed share of the rest's training count, so that the
-probabilities of all tokens, known or not, sum to one.
-
-Training makes one pass over *all* training texts: each task runs NCE on its own texts from a common
-start and the parameters are averaged by tokens seen.  Members' output vectors learn by softmax gradients.  Counts cover all training tokens, exactly.
-The vocabulary of any size stays distributed: only the ``HEAD`` most frequent counts are broadcast, and the
-other tokens' counts meet the documents in a join.
+Every token belongs to a *class* by the two bytes that it ends in; endings that hold much of the corpus have
+several classes, which a hash of the token deals out.  The ``vocabulary_size`` most frequent tokens, a number that grows with the
+square root of the corpus, are *members* of their class with vectors of their own; all others are its *rest*.
+The representation of a context is the sum over the ``CONTEXT`` tokens before of their input vectors (by member or
+rest), times position weights.  Two log-bilinear levels predict from it: the class, and the member or rest
+within the class.  Within the rest a token has its smoothed share of the rest's count, so the
+probabilities of all tokens, known or not, sum to one.  Normalised log-probabilities come from one matrix product
+and one log-sum-exp for each block of tokens and level.
+
+Both levels learn by NCE with stratified noise (a systematic sample of the unigram distribution) and
+Adagrad.  Training reads *all* training tokens once: documents are dealt by a hash of their id into groups of
+a fixed number of tokens and into ``ROUNDS`` slices; in a round every group goes through its slice, in a fixed order,
+from the common parameters, and the groups' results are averaged by tokens.  So the result doesn't depend on
+partitions, and each task's memory and what the groups send stay bounded.  Counts cover all
+training tokens, exactly; only the ``HEAD`` most frequent are broadcast, other tokens' counts meet the
+documents in a join.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize, single_threaded
 
-WORDS, CLASSES, CONTEXT, DIM = 192, 63, 3, 16
-UNITS = WORDS + CLASSES + 1
-END, START = UNITS - 1, UNITS
-HEAD = 1 << 16
-LEAST = 10_000
-NOISE, BATCH, RATE = 48, 1024, 0.1
-END_TOKEN = b" "  # no word holds a space
+CLASSES, CONTEXT, DIM = 255, 4, 16
+#: Tokens whose counts are broadcast: at most so many, of at most so many bytes each.
+HEAD, HEAD_BYTES = 1 << 18, 64
+NOISE, BATCH, NOISE_IN, BATCH_IN, RATE, RATE_IN = 48, 1024, 48, 512, 0.1, 0.05
+ROUNDS, SPAN, GROUP = 3, 1 << 17, 5_000_000
+END_TOKEN = " "  # no word holds a space
+LN10 = math.log(10)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text as bytes: runs of what isn't space or 0x09-0x0D, A-Z lower-cased."""
-    return text.encode("utf-8", "replace").lower().split() if text else []
+def vocabulary_size(tokens: int) -> int:
+    """How many tokens have vectors of their own: twice the square root of the training tokens."""
+    return min(HEAD, int(2 * math.sqrt(tokens)))
 
 
-def class_of(token: bytes) -> int:
-    """The unit of a token that has none of its own."""
-    return WORDS + (token[-1] * 31 + (token[-2] * 7 if len(token) > 1 else 0)) % CLASSES
-
-
-def _counts(batches):
-    """Token counts of the training texts, in tables of a bounded size."""
-    seen: Counter[bytes] = Counter()
-
-    def flush():
-        items = list(seen.items())
-        seen.clear()
-        for at in range(0, len(items), 50_000):
-            t, c = zip(*items[at : at + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(c, pa.int64())], ["token", "c"])
-
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            seen.update(words_of(text))
-            seen[END_TOKEN] += 1
-            if len(seen) > 400_000:
-                yield from flush()
-    yield from flush()
-
-
-def units_of(words: list[bytes], index: dict[bytes, int]) -> list[int]:
-    """Numbers of words, without the end: of units, or of members from ``START`` + 1 on."""
-    return [u if (u := index.get(w)) is not None else class_of(w) for w in words]
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a text column, all words in order by their number, and each text's number of words.
 
+    Words are runs of what isn't space or 0x09-0x0D, A-Z lower-cased; null counts as empty.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
+    ends, words = np.asarray(lists.offsets), lists.values
+    full = np.asarray(pc.binary_length(words)) > 0
+    before = np.concatenate([[0], np.cumsum(full)])
+    coded = words.filter(pa.array(full)).dictionary_encode()
+    return coded.dictionary, np.asarray(coded.indices), before[ends[1:]] - before[ends[:-1]]
+
+
+def endings(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token (none is empty) the number of its last two bytes, and a small hash of other bytes."""
+    tokens = tokens.cast(pa.large_string())
+    buffers = tokens.buffers()
+    offsets = np.frombuffer(buffers[1], np.int64)[tokens.offset : tokens.offset + len(tokens) + 1]
+    data = np.frombuffer(buffers[2], np.uint8) if len(tokens) else np.zeros(0, np.uint8)
+    n, end = np.diff(offsets), offsets[1:]
+    byte = lambda k: np.where(n >= k, data[np.maximum(end - k, 0)], 0).astype(np.int64) if len(n) else n
+    return byte(1) * 256 + byte(2), byte(3) * 31 + byte(4) * 131 + (data[offsets[:-1]].astype(np.int64) * 17 if len(n) else n) + n
+
+
+def class_tables(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By ending, its first class and its number of classes: as many as its share of the ``mass``; small endings share the classes left."""
+    many = np.floor(mass / max(mass.sum(), 1) * CLASSES * 0.8).astype(np.int64)
+    first = np.cumsum(many) - many
+    light = np.flatnonzero(many == 0)
+    used = int(many.sum())
+    first[light] = used + (light * 2654435761 >> 7) % (CLASSES - used)
+    many[light] = 1
+    return first, many
+
+
+@dataclass
+class Vocabulary:
+    """What encodes texts: head tokens with log10(count + 0.5) and symbol (-1 for the rest of a class), and the classes.
+
+    Symbols of a class are consecutive, its rest last; class u has ``base[u]`` to ``base[u + 1]``.  The end is the last class.
+    """
 
-def contexts(units: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each token of texts laid end to end, the ``CONTEXT`` units before it, nearest first."""
-    n = len(units)
-    since = np.arange(n) - starts
-    out = np.full((n, CONTEXT), START, dtype=np.int32)
+    head: pa.Array
+    cost: np.ndarray
+    symbol: np.ndarray
+    first: np.ndarray
+    many: np.ndarray
+    base: np.ndarray
+    end_cost: float
+    end_known: int
+
+    @property
+    def size(self) -> int:
+        return int(self.base[-1])
+
+    def classes(self, tokens: pa.Array) -> np.ndarray:
+        ending, other = endings(tokens)
+        return self.first[ending] + other % self.many[ending]
+
+    def encode(self, column: pa.Array):
+        """Symbols of texts end to end, each with its end; lengths; n_known, base and rest costs; tokens beyond the head (text, token, n)."""
+        words, codes, lengths = words_of(column)
+        at = np.asarray(pc.index_in(words, value_set=self.head).fill_null(-1))
+        known = at >= 0
+        symbol = np.where(known, self.symbol[at], -1) if len(self.head) else np.full(len(words), -1)
+        rest = symbol < 0
+        symbol[rest] = self.base[self.classes(words) + 1][rest] - 1
+        cost = np.where(known, self.cost[at], 0.0) if len(self.head) else np.zeros(len(words))
+        ends = np.cumsum(lengths + 1) - 1
+        ids = np.full(len(codes) + len(lengths), self.size - 1, dtype=np.uint16 if self.size <= 1 << 16 else np.uint32)
+        inner = np.ones(len(ids), dtype=bool)
+        inner[ends] = False
+        ids[inner] = symbol[codes]
+        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[codes])])[np.concatenate([[0], np.cumsum(lengths)])])
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        far = ~known[codes]
+        pairs, n = np.unique(doc[far] * max(len(words), 1) + codes[far], return_counts=True)
+        tails = pairs // max(len(words), 1), words.take(pa.array(pairs % max(len(words), 1))), n
+        return ids, lengths + 1, total(known) + self.end_known, total(cost) + self.end_cost, total(np.where(rest, cost, 0.0)), tails
+
+
+def contexts(ids: np.ndarray, starts: np.ndarray, low: int, high: int, none: int) -> np.ndarray:
+    """For tokens ``low`` to ``high`` of texts laid end to end, the ``CONTEXT`` symbols before each in its text, nearest first."""
+    at = np.arange(low, high)
+    since = at - starts[low:high]
+    out = np.full((high - low, CONTEXT), none, dtype=np.int32)
     for j in range(CONTEXT):
         ok = np.flatnonzero(since > j)
-        out[ok, j] = units[ok - j - 1]
+        out[ok, j] = ids[at[ok] - j - 1]
     return out
 
 
-def _sums(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids and the sums of their rows of values."""
-    distinct, which = np.unique(ids, return_inverse=True)
-    at = (which[:, None] * DIM + np.arange(DIM)).ravel()
-    return distinct, np.bincount(at, values.ravel(), len(distinct) * DIM).reshape(-1, DIM).astype(np.float32)
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-class Lbl:
-    """Parameters: input vectors (by unit and member), position weights, output vectors, biases; the latter two for members, too.
+def _scatter(target: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Adds ``values`` to ``rows`` of a contiguous matrix; repeated rows add up."""
+    width = target.shape[1]
+    np.add.at(target.reshape(-1), (rows[:, None].astype(np.int64) * width + np.arange(width)).ravel(), values.ravel())
 
-    ``members`` has the members' counts by class, ``rest`` the mass of what else is in each class.
-    """
 
-    def __init__(self, counts: np.ndarray, members: list[np.ndarray] | None = None, rest: np.ndarray | None = None, seed: int = 5):
-        rng = np.random.default_rng(seed)
-        members = members if members is not None else [np.zeros(0)] * CLASSES
-        rest = rest if rest is not None else np.ones(CLASSES)
-        sizes = np.array([len(m) for m in members])
-        total = int(sizes.sum())
-        self.base = np.concatenate([[0], np.cumsum(sizes + 1)])  # where each class's slots begin; its last is the rest's
-        of = np.repeat(np.arange(CLASSES), sizes)
-        self.unit = np.concatenate([np.arange(UNITS + 1), WORDS + of]).astype(np.int32)
-        self.slot = np.full(UNITS + 1 + total, -1, dtype=np.int32)
-        self.slot[WORDS:END] = self.base[1:] - 1
-        self.slot[UNITS + 1 :] = np.arange(total) + of
-        self.r = rng.normal(0, 0.1, (UNITS + 1 + total, DIM)).astype(np.float32)
-        self.q_in = np.zeros((total + CLASSES, DIM), dtype=np.float32)
-        share = [np.append(m + 0.5, r) for m, r in zip(members, rest)]
-        self.b_in = np.log(np.concatenate([x / x.sum() for x in share])).astype(np.float32)
-        self.c = np.ones((CONTEXT, DIM), dtype=np.float32) / np.arange(1, CONTEXT + 1, dtype=np.float32)[:, None]
-        self.q = np.zeros((UNITS, DIM), dtype=np.float32)
-        p = (counts + 0.5) / (counts + 0.5).sum()
-        self.b = np.log(p).astype(np.float32)
-        self.noise = p
-        self.log_noise = self.b.copy()
+def _log_softmax(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The natural-log probability of one column of each row; ``z`` is overwritten."""
+    picked = z[np.arange(len(z)), own].astype(np.float64)
+    top = float(z.max())
+    if top > 60:
+        z -= (peak := z.max(axis=1))[:, None]
+        picked -= peak
+    np.exp(z, out=z)
+    return picked - np.log((z @ np.ones(z.shape[1], np.float32)).astype(np.float64))
+
+
+class Lbl:
+    """Parameters: input vectors by symbol, position weights, output vectors (bias last) of classes and of symbols within them; Adagrad's sums."""
+
+    def __init__(self, base: np.ndarray, class_mass: np.ndarray, symbol_mass: np.ndarray, seed: int = 5):
+        self.base, size, units = base, int(base[-1]), len(base) - 1
+        self.unit = np.repeat(np.arange(units), np.diff(base)).astype(np.int32)
+        self.r = np.random.default_rng(seed).normal(0, 0.1, (size + 1, DIM)).astype(np.float32)
+        self.c = np.ones((CONTEXT, DIM), dtype=np.float32) / np.sqrt(np.arange(1, CONTEXT + 1, dtype=np.float32))[:, None]
+        share = class_mass / class_mass.sum()
+        self.log_noise, self.run = np.log(share).astype(np.float32), np.cumsum(share)
+        inner = symbol_mass / np.add.reduceat(symbol_mass, base[:-1])[self.unit]
+        self.log_noise_in, self.run_in = np.log(inner).astype(np.float32), np.cumsum(inner)
+        self.q = np.zeros((units, DIM + 1), dtype=np.float32)
+        self.q[:, DIM] = self.log_noise
+        self.q_in = np.zeros((size, DIM + 1), dtype=np.float32)
+        self.q_in[:, DIM] = self.log_noise_in
+        self.sum_r, self.sum_q, self.sum_in = (np.full(k, 1e-2, dtype=np.float32) for k in (size + 1, units, size))
+
+    def __setstate__(self, state: dict) -> None:
+        """Fresh arrays: unpickled ones carry a dtype object of their own, on which ``ufunc.at`` is ten times slower."""
+        for name, x in state.items():
+            setattr(self, name, fresh := np.empty(x.shape, np.dtype(x.dtype.str)))
+            fresh[...] = x
+
+    def copy(self) -> "Lbl":
+        """A model whose parameters can be trained on their own."""
+        out = Lbl.__new__(Lbl)
+        out.__setstate__(self.__dict__)
+        return out
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.r, self.c, self.q, self.b, self.q_in, self.b_in]
+        return [self.r, self.q, self.q_in, self.sum_r, self.sum_q, self.sum_in]
 
     def set(self, flat: np.ndarray) -> None:
         at = 0
@@ -133,254 +207,310 @@ class Lbl:
         return np.concatenate([p.ravel() for p in self.parameters()])
 
     def hidden(self, ctx: np.ndarray) -> np.ndarray:
-        h = self.r[ctx[:, 0]] * self.c[0]
+        """Representations, with a one at the end for the biases."""
+        h = np.ones((len(ctx), DIM + 1), dtype=np.float32)
+        x = self.r[ctx[:, 0]] * self.c[0]
         for j in range(1, CONTEXT):
-            h += self.r[ctx[:, j]] * self.c[j]
+            x += self.r[ctx[:, j]] * self.c[j]
+        h[:, :DIM] = x
         return h
 
-    def by_class(self, ids: np.ndarray):
-        """The classes with members that tokens are in, and the tokens' places."""
-        own = np.flatnonzero(self.slot[ids] >= 0)
-        k = self.unit[ids[own]] - WORDS
-        order = np.argsort(k, kind="stable")
-        cuts = np.searchsorted(k[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            if cuts[c + 1] > cuts[c] and self.base[c + 1] - self.base[c] > 1:
-                yield c, own[order[cuts[c] : cuts[c + 1]]]
-
-    def add_members(self, ctx: np.ndarray, ids: np.ndarray, logs: np.ndarray) -> None:
-        """Adds to ``logs`` the natural-log probabilities of members and rests within their classes."""
-        for c, places in self.by_class(ids):
-            low, high = self.base[c], self.base[c + 1]
-            step = max(1, (1 << 21) // (high - low))
+    def by_class(self, units: np.ndarray):
+        """The classes of more than one symbol that tokens are in, and the tokens' places."""
+        order = np.argsort(units.astype(np.int16), kind="stable")
+        cuts = np.searchsorted(units[order], np.arange(len(self.base)))
+        for u in np.flatnonzero((np.diff(self.base) > 1) & (np.diff(cuts) > 0)):
+            yield int(self.base[u]), int(self.base[u + 1]), order[cuts[u] : cuts[u + 1]]
+
+    def log_probs(self, ids: np.ndarray, starts: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Normalised natural-log probabilities of the symbols from ``low`` to ``high`` of texts laid end to end."""
+        own = ids[low:high].astype(np.int64)
+        ctx, units = contexts(ids, starts, low, high, self.base[-1]), self.unit[own]
+        h, out, q = np.empty((len(own), DIM + 1), np.float32), np.empty(len(own)), np.ascontiguousarray(self.q.T)
+        for a in range(0, len(own), BATCH):
+            b = slice(a, a + BATCH)
+            h[b] = self.hidden(ctx[b])
+            out[b] = _log_softmax(h[b] @ q, units[b])
+        for lo, hi, places in self.by_class(units):
+            q, step = np.ascontiguousarray(self.q_in[lo:hi].T), max(1, (1 << 18) // (hi - lo))
             for a in range(0, len(places), step):
-                own = places[a : a + step]
-                z = self.hidden(ctx[own]) @ self.q_in[low:high].T + self.b_in[low:high]
-                z -= z.max(axis=1)[:, None]
-                z_own = z[np.arange(len(own)), self.slot[ids[own]] - low].astype(np.float64)
-                logs[own] += z_own - np.log(np.exp(z, out=z).sum(axis=1, dtype=np.float64))
-
-    def step_members(self, ctx: np.ndarray, ids: np.ndarray, rate: float) -> None:
-        """Softmax gradient steps of the members' and rests' output vectors and biases, class by class."""
-        for c, places in self.by_class(ids):
-            low, high = self.base[c], self.base[c + 1]
-            q, b = self.q_in[low:high], self.b_in[low:high]
-            step = max(1, min(BATCH, (1 << 21) // (high - low)))
-            for a in range(0, len(places), step):
-                own = places[a : a + step]
-                h = self.hidden(ctx[own])
-                z = h @ q.T + b
-                z -= z.max(axis=1)[:, None]
-                np.exp(z, out=z)
-                z /= -z.sum(axis=1)[:, None]
-                z[np.arange(len(own)), self.slot[ids[own]] - low] += 1
-                scale = rate / math.sqrt(len(own))
-                q += scale * np.clip(z.T @ h, -50, 50)
-                b += scale * 0.1 * np.clip(z.sum(axis=0), -50, 50)
-
-    def log_probs(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Normalised natural-log probabilities of the target units."""
-        z = self.hidden(ctx) @ self.q.T
-        z += self.b
-        own = z[np.arange(len(target)), target].astype(np.float64)
-        top = z.max(axis=1)
-        z -= top[:, None]
-        np.exp(z, out=z)
-        return own - top - np.log(z @ np.ones(UNITS, np.float32)).astype(np.float64)
-
-    def step(self, ctx: np.ndarray, target: np.ndarray, rate: float, rng: np.random.Generator) -> None:
-        """One NCE step on a batch, whose noise samples are shared (so that all is matrix products)."""
-        n = len(target)
+                p = places[a : a + step]
+                out[p] += _log_softmax(h[p] @ q, own[p] - lo)
+        return out
+
+    @staticmethod
+    def _contrast(h, target, noise, q, log_noise):
+        """NCE with noise that a batch shares: gradients at the targets' and the noise's scores."""
+        log_k = math.log(len(noise))
+        positive = 1 - _sigmoid(np.einsum("ij,ij->i", h, q[target]) - log_k - log_noise[target])
+        negative = _sigmoid(h @ q[noise].T - (log_k + log_noise[noise]))
+        return positive, np.negative(negative, out=negative)
+
+    @staticmethod
+    def _adagrad(h, target, noise, positive, negative, q, sums, rate):
+        d = np.zeros_like(q)
+        _scatter(d, target, positive[:, None] * h)
+        np.add.at(d, noise, negative.T @ h)
+        sums += np.einsum("ij,ij->i", d, d) / d.shape[1]
+        q += rate * d / np.sqrt(sums)[:, None]
+
+    def step(self, ctx: np.ndarray, units: np.ndarray, rng: np.random.Generator) -> None:
+        """One step of the class level and of the input vectors on a batch."""
+        h = self.hidden(ctx)
+        noise = np.minimum(np.searchsorted(self.run, (np.arange(NOISE) + rng.random()) / NOISE * self.run[-1]), len(self.q) - 1)
+        positive, negative = self._contrast(h, units, noise, self.q, self.log_noise)
+        back = positive[:, None] * self.q[units, :DIM]
+        back += negative @ self.q[noise, :DIM]
+        self._adagrad(h, units, noise, positive, negative, self.q, self.sum_q, RATE)
+        seen = ctx.T.ravel()
+        d = (back[None] * self.c[:, None]).reshape(-1, DIM)
+        np.add.at(self.sum_r, seen, np.einsum("ij,ij->i", d, d) / np.float32(DIM))
+        d *= (RATE_IN / np.sqrt(self.sum_r[seen]))[:, None]
+        _scatter(self.r, seen, d)
+
+    def step_members(self, h: np.ndarray, ids: np.ndarray, lo: int, hi: int, rng: np.random.Generator) -> None:
+        """One step of a class's inner level on a batch of its tokens."""
+        start = self.run_in[lo - 1] if lo else 0.0
+        at = start + (np.arange(NOISE_IN) + rng.random()) / NOISE_IN * (self.run_in[hi - 1] - start)
+        noise = np.minimum(np.searchsorted(self.run_in[lo:hi], at), hi - lo - 1)
+        q = self.q_in[lo:hi]
+        positive, negative = self._contrast(h, ids - lo, noise, q, self.log_noise_in[lo:hi])
+        self._adagrad(h, ids - lo, noise, positive, negative, q, self.sum_in[lo:hi], RATE)
+
+    def train(self, ids: np.ndarray, starts: np.ndarray, low: int, high: int, rng: np.random.Generator) -> None:
+        """NCE over the tokens from ``low`` to ``high`` of texts laid end to end, in a random order."""
+        order = rng.permutation(high - low)
+        ctx, own = contexts(ids, starts, low, high, self.base[-1])[order], ids[low:high][order].astype(np.int64)
+        units = self.unit[own]
+        for a in range(0, len(own), BATCH):
+            self.step(ctx[a : a + BATCH], units[a : a + BATCH], rng)
         h = self.hidden(ctx)
-        noise = rng.choice(UNITS, size=NOISE, p=self.noise)
-        log_k = math.log(NOISE)
-        q_t, q_n = self.q[target], self.q[noise]
-        pos = np.einsum("ij,ij->i", h, q_t) + self.b[target] - log_k - self.log_noise[target]
-        neg = h @ q_n.T + (self.b[noise] - log_k - self.log_noise[noise])
-        g_pos = 1 / (1 + np.exp(np.clip(pos, -30, 30)))
-        g_neg = -1 / (1 + np.exp(-np.clip(neg, -30, 30)))
-        g_h = g_pos[:, None] * q_t + g_neg @ q_n
-        d_q, d_b = np.zeros_like(self.q), np.bincount(target, g_pos, UNITS).astype(np.float32)
-        units, sums = _sums(target, g_pos[:, None] * h)
-        d_q[units] = sums
-        np.add.at(d_q, noise, g_neg.T @ h)
-        np.add.at(d_b, noise, g_neg.sum(axis=0))
-        d_c = np.stack([(g_h * self.r[ctx[:, j]]).sum(axis=0) for j in range(CONTEXT)])
-        seen, d_r = _sums(ctx.T.ravel(), np.concatenate([g_h * self.c[j] for j in range(CONTEXT)]))
-        scale = rate / math.sqrt(n)
-        self.q += scale * np.clip(d_q, -50, 50)
-        self.b += scale * 0.1 * np.clip(d_b, -50, 50)
-        self.r[seen] += scale * np.clip(d_r, -50, 50)
-        self.c += scale * 0.01 * np.clip(d_c, -50, 50)
-
-
-def _laid_out(texts: list[list[bytes]], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units and members of texts end to end, each with its end; where each token's text starts; the texts' lengths."""
-    lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    units = np.fromiter((u for t in texts for u in (*units_of(t, index), END)), dtype=np.int32, count=int(lengths.sum()))
-    return units, np.repeat(np.cumsum(lengths) - lengths, lengths), lengths
-
-
-def _groups(batches, column: int, at_once: int = 2 << 20):
-    """Rows of batches in groups of about ``at_once`` characters: (batch, first row, texts as words)."""
+        for lo, hi, places in self.by_class(units):
+            for a in range(0, len(places), BATCH_IN):
+                p = places[a : a + BATCH_IN]
+                self.step_members(h[p], own[p], lo, hi, rng)
+
+
+def _laid_out(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts end to end, and where each token's text starts."""
+    lengths = np.array([len(p) for p in parts])
+    return np.concatenate(parts), np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _spans(n: int):
+    """Ranges of about ``SPAN`` tokens that cover ``n``."""
+    cuts = np.linspace(0, n, max(1, round(n / SPAN)) + 1).astype(int)
+    return zip(cuts, cuts[1:])
+
+
+def _counts(batches):
+    """Token counts of the training texts, in tables of a bounded size."""
+    held, size = [], 0
+
+    def flush():
+        words, codes, lengths = words_of(pa.concat_arrays(held))
+        n = pa.array(np.bincount(codes, minlength=len(words)), pa.int64())
+        for at in range(0, len(words), 50_000):
+            yield pa.RecordBatch.from_arrays([words.slice(at, 50_000), n.slice(at, 50_000)], ["token", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array([END_TOKEN]), pa.array([len(lengths)], pa.int64())], ["token", "c"])
+
     for b in batches:
-        texts = b.column(column).to_pylist()
-        at = 0
-        while at < len(texts):
-            size, end = 0, at
-            while end < len(texts) and (end == at or size < at_once):
-                size += len(texts[end] or "")
-                end += 1
-            yield b, at, [words_of(t) for t in texts[at:end]]
-            at = end
+        held.append(b.column(0))
+        size += b.column(0).nbytes
+        if size > 16 << 20:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
 
 
-def _train(index: dict[bytes, int], given: tuple, block: int = 1024):
-    """NCE over a task's texts; the parameters in blocks, weighted by tokens."""
+def _masses(of):
+    """Sums of counts and numbers of tokens, by ``of`` (an array of numbers for an array of tokens)."""
 
     def run(batches):
-        model, seen, rng = Lbl(*given), 0, np.random.default_rng(1)
-        for _, _, texts in _groups(batches, 0):
-            ids, starts, _ = _laid_out(texts, index)
-            ctx, units = contexts(ids, starts), model.unit[ids]
-            order = rng.permutation(len(units))
-            for a in range(0, len(order), BATCH):
-                pick = order[a : a + BATCH]
-                seen += len(pick)
-                model.step(ctx[pick], units[pick], RATE / (1 + seen / 2e6), rng)
-            model.step_members(ctx[order], ids[order], RATE / (1 + seen / 2e6))
-        if seen:
-            flat = model.flat().astype(np.float64)
-            parts = [flat[a : a + block] * seen for a in range(0, len(flat), block)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))], ["block", "tokens", "sums"])
+        for b in batches:
+            keep = b.filter(pc.not_equal(b.column(0), END_TOKEN))
+            key, back = np.unique(of(keep.column(0)), return_inverse=True)
+            c = np.bincount(back, np.asarray(keep.column(1)), len(key)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(c), pa.array(np.bincount(back, minlength=len(key)), pa.int64())], ["k", "c", "n"])
 
     return run
 
 
-def _average(table: pa.Table) -> pa.Table:
-    """The weighted mean of one block of parameters, over tasks."""
-    total = np.sum([np.array(x) for x in table.column("sums").to_pylist()], axis=0) / sum(table.column("tokens").to_pylist())
-    return pa.Table.from_arrays([pa.array([table.column("block")[0].as_py()], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64()))], ["block", "mean"])
+def _summed(counts: DataFrame, of) -> dict[int, tuple[int, int]]:
+    return {r[0]: (r[1], r[2]) for r in counts.mapInArrow(_masses(of), "k long, c long, n long").groupBy("k").agg(F.sum("c"), F.sum("n")).collect()}
 
 
-def score_documents(df: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
+def build(counts: DataFrame, total: int) -> tuple[Vocabulary, Lbl, np.ndarray]:
+    """Vocabulary, untrained model and log10 mass of every symbol (0 for members), from the counts (token, c).
 
-    ``train`` says which rows to learn from; held_out is its contrary.  Null texts count as empty: one token,
-    the end.  base_score is the smoothed unigram's log10 probability, score the model's.  Repeated rows are
-    scored each.  Without training rows all counts are 0 and the model is uniform over its units.
+    The driver gets at most ``HEAD`` tokens of bounded length, 65,536 endings and ``CLASSES`` sums.
     """
-    spark = df.sparkSession
-    train = F.coalesce(train, F.lit(False))
-    learn = df.filter(train).select(F.col(text_col).alias("text"))
-    counts = materialize(learn.mapInArrow(_counts, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "counts", tidy=True)
-    total, kinds = counts.agg(F.sum("c"), F.count("*")).first()
-    total = total or 0
-    denominator = total + 0.5 * (kinds + 1)
+    short = counts.filter((F.octet_length("token") <= HEAD_BYTES) & (F.col("token") != END_TOKEN))
     # the most frequent tokens by a threshold on the count, from a histogram of at most a few hundred steps
-    steps = counts.groupBy(F.floor(F.log2("c") * 8).alias("s")).agg(F.count("*"), F.min("c")).orderBy(F.desc("s")).collect()
     room, least = HEAD, None
-    for _, n, low in steps:
+    for _, n, low in short.groupBy(F.floor(F.log2("c") * 8).alias("s")).agg(F.count("*"), F.min("c")).orderBy(F.desc("s")).collect():
         if n > room:
             break
         room, least = room - n, low
-    # members are in the head however many there are, and so is the end, which the later join does not count
-    top = counts.filter((F.col("c") >= (LEAST if least is None else min(least, LEAST))) | (F.col("token") == F.lit(END_TOKEN))).collect()
-    head = {bytes(r[0]): r[1] for r in sorted(top, key=lambda r: (-r[1], bytes(r[0])))}
-    ranked = [t for t in head if t != END_TOKEN]
-    index = {t: k for k, t in enumerate(ranked[:WORDS])}
-    # counts by unit, and what smoothing spreads within a class's rest: 0.5 a known token, 0.5 an unknown one in all
-    size = F.octet_length("token")
-    byte = lambda at: F.conv(F.hex(F.substring("token", at, 1)), 16, 10).cast("int")
-    by_class = {
-        r[0]: [r[1], r[2]]
-        for r in counts.filter(F.col("token") != F.lit(END_TOKEN))
-        .groupBy((F.lit(WORDS) + F.pmod(byte(-1) * 31 + F.when(size > 1, F.conv(F.hex(F.expr("substring(token, octet_length(token) - 1, 1)")), 16, 10).cast("int") * 7).otherwise(0), F.lit(CLASSES))).alias("u"))
-        .agg(F.sum("c"), F.count("*"))
-        .collect()
-    }
-    for t in index:
-        by_class[class_of(t)][0] -= head[t]
-        by_class[class_of(t)][1] -= 1
-    unit_counts, mass = np.zeros(UNITS), np.ones(UNITS)
-    for t, k in index.items():
-        unit_counts[k] = head[t]
-    unit_counts[END] = head.get(END_TOKEN, 0)
-    members: list[list[bytes]] = [[] for _ in range(CLASSES)]
-    for t in ranked[WORDS:]:
-        if head[t] >= LEAST:
-            members[class_of(t) - WORDS].append(t)
-    for u, own in zip(range(WORDS, END), members):
-        c, v = by_class.get(u, (0, 0))
-        unit_counts[u], mass[u] = c, c - sum(head[t] for t in own) + 0.5 * (v - len(own) + 1)
-    index |= {t: START + 1 + k for k, t in enumerate(t for own in members for t in own)}
-    given = unit_counts, [np.array([head[t] for t in own], dtype=float) for own in members], mass[WORDS:END]
-    model = Lbl(*given)
-    if total:
-        sums = learn.mapInArrow(_train(index, given), "block int, tokens long, sums array<double>")
-        means = sums.groupBy("block").applyInArrow(_average, "block int, mean array<double>").orderBy("block").collect()
-        model.set(np.concatenate([r[1] for r in means]).astype(np.float32))
-    share = spark.sparkContext.broadcast((head, index, mass, model))
-    log_d = math.log10(denominator)
-
-    def first_pass(batches):
-        head, index, mass, model = share.value
-        log_mass = np.log10(mass)
-        cost = {t: math.log10(c + 0.5) for t, c in head.items()}
+    top = short.filter(F.col("c") >= (least if least is not None else 1 << 62)).toArrow()
+    top = top.sort_by([("c", "descending"), ("token", "ascending")])
+    head, c = top.column("token").combine_chunks(), np.asarray(top.column("c").combine_chunks()).astype(np.float64)
+    ends = counts.filter(F.col("token") == END_TOKEN).select("c").collect()
+    end = ends[0][0] if ends else 0
+    mass = np.zeros(1 << 16)
+    for k, (x, _) in _summed(counts, lambda tokens: endings(tokens)[0]).items():
+        mass[k] = x
+    first, many = class_tables(mass)
+    sums = _summed(counts, Vocabulary(None, None, None, first, many, np.zeros(1), 0.0, 0).classes)
+    class_c, class_n = (np.array([sums.get(u, (0, 0))[k] for u in range(CLASSES)], dtype=np.float64) for k in (0, 1))
+    members = vocabulary_size(total)
+    vocabulary = Vocabulary(head, np.log10(c + 0.5), np.full(len(head), -1, dtype=np.int64), first, many, np.zeros(1), math.log10(end + 0.5), int(end > 0))
+    of = vocabulary.classes(head.slice(0, members)) if len(head) else np.zeros(0, np.int64)
+    sizes = np.bincount(of, minlength=CLASSES)
+    vocabulary.base = base = np.concatenate([[0], np.cumsum(np.append(sizes + 1, 1))])
+    order = np.argsort(of, kind="stable")
+    place = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of[order]]
+    vocabulary.symbol[order] = base[of[order]] + place
+    symbol_mass = np.ones(base[-1])
+    symbol_mass[vocabulary.symbol[: len(of)]] = c[: len(of)] + 0.5
+    rest = base[1 : CLASSES + 1] - 1
+    own_c, own_n = np.bincount(of, c[: len(of)], CLASSES), sizes
+    # what smoothing spreads within a class's rest: 0.5 a known token, 0.5 for all unknown ones
+    symbol_mass[rest] = class_c - own_c + 0.5 * (class_n - own_n + 1)
+    log_mass = np.zeros(base[-1])
+    log_mass[rest] = np.log10(symbol_mass[rest])
+    return vocabulary, Lbl(base, np.append(class_c, end) + 0.5, symbol_mass), log_mass
+
+
+def _averaged(table: pa.Table) -> pa.Table:
+    """The mean of one block of parameters over groups, weighted by their tokens."""
+    parts = sorted(zip(*(table.column(c).to_pylist() for c in ("grp", "tokens", "part"))))
+    mean = sum(np.frombuffer(p, np.float32).astype(np.float64) * n for _, n, p in parts) / sum(n for _, n, _ in parts)
+    return pa.Table.from_arrays([pa.array([table.column("block")[0].as_py()], pa.int32()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], ["block", "mean"])
+
+
+def fit(encoded: DataFrame, model: Lbl, tokens: int) -> None:
+    """Train on encoded texts (id, n, ids); each group of documents passes through its slice in every round."""
+    spark, size = encoded.sparkSession, len(model.base) and int(model.base[-1])
+    groups = max(1, -(-tokens // max(GROUP, 280 * size)))
+    kind = np.uint16 if size <= 1 << 16 else np.uint32
+    key = F.xxhash64("id", "n")
+    dealt = encoded.select(F.pmod(key, F.lit(groups)).cast("int").alias("grp"), F.pmod(F.xxhash64(key, F.lit(3)), F.lit(ROUNDS)).alias("slice"), key.alias("key"), "id", "ids")
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches, shared=shared, turn=turn, block=1 << 18):
+            single_threaded()
+            grp, own, rng, seen, held, many = None, None, None, 0, [], 0
+
+            def learn():
+                ids, starts = _laid_out(held)
+                for a, b in _spans(len(ids)):
+                    own.train(ids, starts, a, b, rng)
+
+            def result():
+                flat = own.flat()
+                parts = [flat[a : a + block].tobytes() for a in range(0, len(flat), block)]
+                k = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([grp] * k, pa.int32()), pa.array([seen] * k, pa.int64()), pa.array(parts, pa.binary())], ["block", "grp", "tokens", "part"])
+
+            for b in batches:
+                for g, packed in zip(b.column(0).to_pylist(), b.column(1)):
+                    if g != grp:
+                        if grp is not None:
+                            if held:
+                                learn()
+                            yield from result()
+                        own = shared.value.copy()
+                        grp, rng, seen, held, many = g, np.random.default_rng((turn, g)), 0, [], 0
+                    held.append(np.frombuffer(packed.as_buffer(), kind))
+                    seen += len(held[-1])
+                    many += len(held[-1])
+                    if many >= SPAN:
+                        learn()
+                        held, many = [], 0
+            if grp is not None:
+                if held:
+                    learn()
+                yield from result()
+
+        own = dealt.filter(F.col("slice") == turn).repartition(groups, "grp").sortWithinPartitions("grp", "key", "id", "ids").select("grp", "ids")
+        sums = own.mapInArrow(lean(run), "block int, grp int, tokens long, part binary")
+        means = sums.groupBy("block").applyInArrow(_averaged, "block int, mean binary").collect()
+        if means:
+            model.set(np.concatenate([np.frombuffer(bytes(r[1]), np.float32) for r in sorted(means)]))
+        shared.unpersist()
+
+
+def score_documents(df: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
+
+    ``train`` says which rows to learn from; held_out is its contrary.  Null and empty texts are one token,
+    the end.  base_score is the smoothed unigram's log10 probability, score the model's.  Ties in count are
+    settled by token.  Repeated rows are scored each; extra columns, whatever their names, are not read.  Without training rows all
+    counts are 0 and the model is uniform over its classes; an empty table gives an empty result.  The
+    vocabulary and the trained model are the result's attribute ``spanloom_model``.
+    """
+    spark = df.sparkSession
+    train = F.coalesce(train, F.lit(False))
+    rows = df.select(F.col(id_col).alias("id"), (~train).alias("held_out"), F.col(text_col).alias("text"))
+    counts = materialize(rows.filter(~F.col("held_out")).select("text").mapInArrow(lean(_counts), "token string, c long").groupBy("token").agg(F.sum("c").alias("c")), "counts", tidy=True)
+    total, kinds = counts.agg(F.sum("c"), F.count("*")).first()
+    total = int(total or 0)
+    vocabulary, model, log_mass = build(counts, total)
+    size, log_d = vocabulary.size, math.log10(total + 0.5 * (kinds + 1))
+    coder = spark.sparkContext.broadcast(vocabulary)
+
+    def encoded(batches):
         seen, partition = 0, TaskContext.get().partitionId()
-        for b, at, texts in _groups(batches, 2):
-            ids, starts, lengths = _laid_out(texts, index)
-            ctx, units = contexts(ids, starts), model.unit[ids]
-            logs = np.empty(len(units))
-            for a in range(0, len(units), 8192):
-                logs[a : a + 8192] = model.log_probs(ctx[a : a + 8192], units[a : a + 8192])
-            model.add_members(ctx, ids, logs)
-            logs = logs / math.log(10)
-            in_rest = (ids >= WORDS) & (ids < END)
-            logs[in_rest] -= log_mass[ids[in_rest]]
-            ends = np.cumsum(lengths)
-            model_sum = np.add.reduceat(logs, ends - lengths)
-            n_head, base, extra, tails, tail_n, owner = [], [], [], [], [], []
-            for d, words in enumerate(texts):
-                n, s, x = int(END_TOKEN in cost), cost.get(END_TOKEN, math.log10(0.5)), 0.0
-                for t, k in Counter(words).items():
-                    v = cost.get(t)
-                    if v is None:
-                        tails.append(t)
-                        tail_n.append(k)
-                        owner.append(d)
-                        continue
-                    n += k
-                    s += k * v
-                    if t not in index:
-                        x += k * v
-                n_head.append(n)
-                base.append(s)
-                extra.append(x)
-            m, k = len(texts), len(tails)
-            rows = pa.array([*range(at, at + m), *(at + d for d in owner)], pa.int64())
-            number = (partition << 40) + seen + rows.to_numpy() - at
+        for b in batches:
+            ids, n, known, base, rest, (doc, tokens, times) = coder.value.encode(b.column(2))
+            m, k = b.num_rows, len(doc)
+            number = (partition << 40) + seen + np.concatenate([np.arange(m), doc])
             seen += m
-            none = [None] * k
+            ends = np.cumsum(n)
+            packed = pa.array([ids[e - x : e].tobytes() for e, x in zip(ends, n)], pa.binary())
+            at = pa.array(np.concatenate([np.arange(m), doc]), pa.int64())
+            none = lambda t: pa.nulls(k, t)
+            both = lambda x, t: pa.concat_arrays([pa.array(x, t), none(t)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(number), b.column(0).take(rows), b.column(1).take(rows), pa.array([None] * m + tails, pa.binary()), pa.array([*lengths.tolist(), *tail_n], pa.int64()),
-                    pa.array([*n_head, *none], pa.int64()), pa.array([*base, *none], pa.float64()), pa.array([*(model_sum + np.array(extra)).tolist(), *none], pa.float64()),
+                    pa.array(number, pa.int64()), b.column(0).take(at), b.column(1).take(at), pa.concat_arrays([pa.nulls(m, pa.string()), tokens.cast(pa.string())]), pa.array(np.concatenate([n, times]), pa.int64()),
+                    both(known, pa.int64()), both(base, pa.float64()), both(rest, pa.float64()), pa.concat_arrays([packed, none(pa.binary())]),
                 ],
-                ["row", "id", "held_out", "token", "n", "n_known", "base", "model"],
+                ["row", "id", "held_out", "token", "n", "n_known", "base", "rest", "ids"],
             )
 
-    kind = df.select(id_col).schema[0].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), (~train).alias("held_out"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(first_pass, f"row long, id {kind}, held_out boolean, token binary, n long, n_known long, base double, model double")
+    id_kind = rows.schema["id"].dataType.simpleString()
+    found = rows.mapInArrow(lean(encoded), f"row long, id {id_kind}, held_out boolean, token string, n long, n_known long, base double, rest double, ids binary")
     found = materialize(found, "found", tidy=True)
+    texts = found.filter("token is null")
+    if total:
+        fit(texts.filter(~F.col("held_out")).select("id", "n", "ids"), model, total)
+    shared = spark.sparkContext.broadcast((model, log_mass))
+    kind = np.uint16 if size <= 1 << 16 else np.uint32
+
+    def scored(batches):
+        single_threaded()
+        model, log_mass = shared.value
+        for b in batches:
+            parts = [np.frombuffer(x.as_buffer(), kind) for x in b.column(b.num_columns - 1)]
+            ids, starts = _laid_out(parts) if parts else (np.zeros(0, kind), np.zeros(0, int))
+            logs = np.concatenate([model.log_probs(ids, starts, a, e) for a, e in _spans(len(ids))]) if parts else np.zeros(0)
+            logs = logs / LN10 - log_mass[ids]
+            first = np.cumsum([len(p) for p in parts]) - [len(p) for p in parts]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.add.reduceat(logs, first) if parts else logs, pa.float64())], [*b.schema.names[:-1], "model"])
+
+    own = texts.select("row", "id", "held_out", "n", "n_known", "base", "rest", "ids")
+    own = own.mapInArrow(lean(scored), f"row long, id {id_kind}, held_out boolean, n long, n_known long, base double, rest double, model double")
     tail = found.filter("token is not null").select("row", "token", "n").join(counts, "token", "left")
     cost = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))
     tail = tail.groupBy("row").agg(F.sum(cost).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"))
-    own = found.filter("token is null").drop("token").join(tail, "row", "left")
-    out = own.select(
-        F.col("id").alias(id_col), "held_out", F.col("n").alias("n_tokens"), (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("tail", F.lit(0.0)) - F.col("n") * F.lit(log_d)).alias("base_score"), (F.col("model") + F.coalesce("tail", F.lit(0.0))).alias("score"),
+    far = F.coalesce("tail", F.lit(0.0))
+    out = own.join(tail, "row", "left").select(
+        F.col("id").alias(id_col), "held_out", F.col("n").alias("n_tokens"), (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + far - F.col("n") * F.lit(log_d)).alias("base_score"), (F.col("model") + F.col("rest") + far).alias("score"),
     )
+    out.spanloom_model = (vocabulary, model)
     return out
-

@@ -251,41 +251,93 @@ def test_lm_counts_the_end_beyond_the_head(spark, monkeypatch):
     assert math.isclose(got[1].base_score, p["a"] + p["end"]) and math.isclose(got[2].base_score, p["end"])
 
 
-def test_lm_models_frequent_tokens_by_context(spark, monkeypatch):
-    """Two tokens of one class and one count, beyond the units, are told apart by what stands before them."""
+def brute_lm(vocabulary, model, counts, text):
+    """The model's log10 probability of a text, token by token, with plain sums."""
+    head = {t: int(k) for t, k in zip(vocabulary.head.to_pylist(), vocabulary.symbol)}
+    base, size = vocabulary.base, vocabulary.size
+    rest_mass = defaultdict(lambda: 0.5)
+    class_of = lambda t: int(vocabulary.classes(pa.array([t]))[0])
+    for t, c in counts.items():
+        if t != " " and head.get(t, -1) < 0:
+            rest_mass[class_of(t)] += c + 0.5
+    before, total = [], 0.0
+    for t in [*(text or "").encode().lower().decode().split(), " "]:
+        u = lm.CLASSES if t == " " else class_of(t)
+        k = size - 1 if t == " " else head.get(t, -1) if head.get(t, -1) >= 0 else int(base[u + 1]) - 1
+        h = sum(model.r[(before[-j] if len(before) >= j else size)].astype(float) * model.c[j - 1] for j in range(1, lm.CONTEXT + 1))
+        h = np.append(h, 1.0)
+        outer, inner = np.exp(model.q.astype(float) @ h), np.exp(model.q_in[base[u] : base[u + 1]].astype(float) @ h)
+        p = outer[u] / outer.sum() * inner[k - base[u]] / inner.sum()
+        if t != " " and k == base[u + 1] - 1:
+            p *= (counts.get(t, 0) + 0.5) / rest_mass[u]
+        total += math.log10(p)
+        before.append(k)
+    return total
+
+
+def test_lm_score_against_brute_force(docs, texts, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 60)
+    monkeypatch.setattr(lm, "vocabulary_size", lambda n: 40)
+    train = F.col("doc_id") % 3 > 0
+    own = [(i, t) for i, t in texts if t is None or len(t) < 2000]
+    df = docs.filter("text is null or length(text) < 2000")
+    out = lm.score_documents(df, train)
+    counts = Counter(x for i, t in own if i % 3 for x in [*(t or "").encode().lower().decode().split(), " "])
+    want = defaultdict(list)
+    for i, t in own:
+        want[i].append(brute_lm(*out.spanloom_model, counts, t))
+    got = out.collect()
+    assert len(got) == len(own) and any(r.score > r.base_score + 1 for r in got)
+    assert all(any(math.isclose(r.score, w, rel_tol=1e-5, abs_tol=1e-4) for w in want[r.doc_id]) for r in got)
+
+
+def test_lm_does_not_depend_on_partitions(docs, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP", 4000)
+    train = F.col("doc_id") % 5 > 0
+    one, two = ({(r.doc_id, r.n_tokens): r.score for r in lm.score_documents(docs.repartition(n), train).collect()} for n in (1, 6))
+    assert one.keys() == two.keys() and all(math.isclose(one[k], two[k], rel_tol=1e-6) for k in one)
+
+
+def test_lm_learns_from_context(spark):
+    """Two tokens of one count are told apart by what stands before them, members or not."""
     r = random.Random(8)
-    parts = [f"f{i}" for i in range(210)] * 300 + ["left qaab", "right waab"] * 250
+    parts = ["left qaab", "right waac"] * 3000 + [f"f{i}" for i in range(500)] * 4
     r.shuffle(parts)
-    lines = [" ".join(parts[a : a + 50]) for a in range(0, len(parts), 50)] + ["left qaab", "left waab", "right qaab", "right waab"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string").coalesce(2)
+    lines = [" ".join(parts[a : a + 50]) for a in range(0, len(parts), 50)] + ["left qaab", "left waac", "right qaab", "right waac"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
     n = len(lines) - 4
-    assert lm.class_of(b"qaab") == lm.class_of(b"waab")
-    monkeypatch.setattr(lm, "LEAST", 200, raising=False)
     got = {r.doc_id - n: (r.base_score, r.score) for r in lm.score_documents(df, F.col("doc_id") < n).filter(F.col("doc_id") >= n).collect()}
     assert math.isclose(got[0][0], got[1][0])
-    assert got[0][1] > got[1][1] + 1e-6 and got[3][1] > got[2][1] + 1e-6
-
-
-def test_lm_member_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    model = lm.Lbl(np.arange(lm.UNITS, dtype=float), [np.arange(1.0, 5)] * lm.CLASSES)
-    ids = rng.integers(lm.WORDS, len(model.unit), 4000)
-    ids = ids[(ids < lm.END) | (ids > lm.START)].astype(np.int32)
-    model.step_members(rng.integers(0, len(model.unit), (len(ids), lm.CONTEXT)), ids, 0.1)
-    own = np.array([lm.WORDS, *np.flatnonzero(model.unit[lm.START + 1 :] == lm.WORDS) + lm.START + 1])
-    logs = np.zeros(5)
-    model.add_members(np.tile(rng.integers(0, len(model.unit), (1, lm.CONTEXT)), (5, 1)), own, logs)
-    assert len(own) == 5 and math.isclose(np.exp(logs).sum(), 1, rel_tol=1e-5)
+    assert got[0][1] > got[1][1] + 0.3 and got[3][1] > got[2][1] + 0.3 and got[0][1] > got[0][0] + 0.3
 
 
 def test_lm_probabilities_sum_to_one():
-    model = lm.Lbl(np.arange(lm.UNITS, dtype=float))
     rng = np.random.default_rng(0)
-    for _ in range(30):
-        ctx, y = rng.integers(0, lm.UNITS + 1, (256, lm.CONTEXT)), rng.integers(0, lm.UNITS, 256)
-        model.step(ctx.astype(np.int16), y.astype(np.int16), 0.1, rng)
-    ctx = np.tile(rng.integers(0, lm.UNITS + 1, (1, lm.CONTEXT)), (lm.UNITS, 1)).astype(np.int16)
-    assert math.isclose(np.exp(model.log_probs(ctx, np.arange(lm.UNITS))).sum(), 1, rel_tol=1e-4)
+    base = np.concatenate([[0], np.cumsum(rng.integers(1, 9, lm.CLASSES)), [0]])
+    base[-1] = base[-2] + 1
+    model, size = lm.Lbl(base, rng.random(lm.CLASSES + 1) + 0.01, rng.random(base[-1]) + 0.01), int(base[-1])
+    ids = rng.integers(0, size, 6000).astype(np.uint16)
+    model.train(ids, np.zeros(6000, int), 0, 6000, rng)
+    ctx = ids[:7].tolist()
+    whole = np.array([[*ctx, k] for k in range(size)], dtype=np.uint16).ravel()
+    logs = model.log_probs(whole, np.repeat(np.arange(0, 8 * size, 8), 8), 0, 8 * size)[7::8]
+    assert math.isclose(np.exp(logs).sum(), 1, rel_tol=1e-4) and logs.std() > 0.1
+
+
+def test_lm_classes_and_spans():
+    first, many = lm.class_tables(np.bincount([5] * 900 + list(range(100)), minlength=1 << 16))
+    assert many[5] > 100 and (first + many).max() <= lm.CLASSES and many.min() == 1
+    words, codes, lengths = lm.words_of(pa.array(["A b\x0bC\u00a0d ", None, "", " \t", "b"]))
+    assert [words[int(k)].as_py() for k in codes] == ["a", "b", "c\u00a0d", "b"] and lengths.tolist() == [3, 0, 0, 0, 1]
+    for n in (1, 5, lm.SPAN, 3 * lm.SPAN + 7):
+        spans = list(lm._spans(n))
+        assert spans[0][0] == 0 and spans[-1][1] == n and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_lm_long_text(spark):
+    df = spark.createDataFrame([(0, "ab " * 400_000), (1, "x" * 3_000_000), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score_documents(df, F.col("doc_id") < 2).collect()}
+    assert [got[i].n_tokens for i in range(3)] == [400_001, 2, 1] and got[1].n_known == 2 and all(math.isfinite(r.score) for r in got.values())
 
 
 def test_neighbours(spark):
