@@ -2,6 +2,9 @@
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -42,3 +45,18 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("gone", [("spanloom/llm", "tests/llm"), ("spanloom/llm", "tests/llm", "corpus_pipeline.py")])
+def test_the_rest_lives_without_llm(tmp_path, gone):
+    """A copy without the training-data subpackage, with or without the pipeline's file, imports and offers the other queries."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "*.json", ".pytest_cache"))
+    for path in gone:
+        target = copy / path
+        if target.is_dir():
+            shutil.rmtree(target)
+        elif target.exists():
+            target.unlink()
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'covered_seconds' in q and not [n for n in q if n == 'pipeline' or n.startswith('op1_')]; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
