@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import exactly, free_name
+
 # Element names by role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title meta link base noscript iframe object embed audio video canvas datalist param source track noembed noframes defs desc metadata symbol clippath mask marker pattern annotation annotation-xml".split())
+HIDDEN = frozenset("head script style template title meta link base noscript iframe object embed audio video canvas datalist param source track noembed noframes defs desc metadata symbol clippath mask marker pattern annotation annotation-xml rp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset menu dir".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
@@ -45,18 +48,24 @@ _TAG_END = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)$")
 
 
 class Node:
     """An element: its name, attributes and children (nodes and strings)."""
 
-    __slots__ = ("name", "attributes", "children", "parent", "depth")
+    __slots__ = ("name", "attributes", "children", "parent", "depth", "open", "cut", "shown", "silent")
 
     def __init__(self, name: str, attributes: dict[str, str], parent: "Node | None"):
         self.name, self.attributes, self.parent = name, attributes, parent
         self.children: list = []
         self.depth = parent.depth + 1 if parent else 0
+        #: The names of the element and its ancestors, shared between elements; so that a search for none of them is no walk.
+        self.open = parent.open if parent is not None and name in parent.open else (parent.open if parent is not None else frozenset()) | {name}
+        #: Whether it is left out with all that it holds; whether it has a box; whether its own text is hidden.
+        self.cut, self.shown, self.silent = False, True, False
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -71,7 +80,7 @@ def _attributes(source: str) -> dict[str, str]:
 def _close(at: Node, names: tuple[str, ...], stops) -> Node:
     """The parent of the outermost open element of ``names`` below the nearest of ``stops``; else ``at``."""
     found, node = None, at
-    while node is not None and node.name not in stops:
+    while node is not None and node.name not in stops and not at.open.isdisjoint(names):
         if node.name in names:
             found = node
         node = node.parent
@@ -81,6 +90,8 @@ def _close(at: Node, names: tuple[str, ...], stops) -> Node:
 def _holder(at: Node, names: tuple[str, ...]) -> Node:
     """The nearest open element of ``names``, if no cell, caption or end of a table stands between; else ``at``."""
     node = at
+    if at.open.isdisjoint(names):
+        return at
     while node is not None and node.name not in names:
         if node.name in ("td", "th", "caption", "table", "template"):
             return at
@@ -150,7 +161,7 @@ def parse(source: str) -> Node:
                 continue
             node = at
             edge = () if name in SCOPE or name in ("tr", "tbody", "thead", "tfoot", "body", "head") else ("td", "th", "table")
-            while node is not None and node.name != name and node.name not in edge:
+            while name in at.open and node is not None and node.name != name and node.name not in edge:
                 node = node.parent
             if node is not None and node.name == name:
                 at = node.parent or root
@@ -184,19 +195,100 @@ def parse(source: str) -> Node:
             close = source.find(">", stop) if end else -1
             pos = n if close < 0 else close + 1
             continue
-        if node.depth < DEEPEST:
-            at = node
+        at = node
+    _decide(root)
     return root
 
 
+def style_rules(root: Node) -> list[tuple[str, frozenset[str], frozenset[str], dict[str, str]]]:
+    """Element, classes and ids, with what they declare, of the simple selectors of a page's style sheets, weakest first.
+
+    Rules of combined selectors, pseudo-classes and conditional groups (but ``@media screen`` and ``all``) aren't applied.
+    """
+    found, todo, count = [], [root], 0
+    while todo:
+        node = todo.pop()
+        if node.name == "style":
+            sheet = re.sub(r"/\*.*?\*/", "", "".join(c for c in node.children if isinstance(c, str)), flags=re.S)
+            sheet = re.sub(r"@media\s+(?:screen|all)\s*\{((?:[^{}]*\{[^{}]*\})*)\s*\}", r"\1", sheet, flags=re.I)
+            sheet = re.sub(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})", "", sheet)
+            for selectors, block in _RULE.findall(sheet):
+                says = {k.lower(): v.lower() for k, v in _DECLARATION.findall(block)}
+                for one in selectors.split(",") if says else ():
+                    simple = _SIMPLE.match(one.strip())
+                    if not one.strip() or not simple:
+                        continue
+                    marks = re.findall(r"([.#])([\w-]+)", simple[2])
+                    ids, classes = (frozenset(n for m, n in marks if m == k) for k in "#.")
+                    count += 1
+                    element = "" if simple[1] in (None, "*") else simple[1].lower()
+                    found.append(((len(ids), len(classes), bool(element), count), (element, classes, ids, says)))
+        todo += [c for c in reversed(node.children) if not isinstance(c, str)]
+    return [rule for _, rule in sorted(found, key=lambda x: x[0])]
+
+
+def _decide(root: Node) -> None:
+    """Sets what a browser shows: ``display: none`` cuts a subtree; visibility is inherited, and a descendant can be visible again."""
+    rules = style_rules(root)
+    todo: list[tuple[Node, str]] = [(root, "visible")]
+    while todo:
+        node, inherited = todo.pop()
+        a, says = node.attributes, {}
+        if rules:
+            own = frozenset(a.get("class", "").split())
+            for element, classes, ids, declared in rules:
+                if (not element or element == node.name) and classes <= own and (not ids or ids == {a.get("id")}):
+                    says |= declared
+        if "hidden" in a and "display" not in says:
+            says["display"] = "none"
+        if "style" in a:
+            says |= {k.lower(): v.lower() for k, v in _DECLARATION.findall(a["style"])}
+        visibility = says.get("visibility", "inherit")
+        visibility = inherited if visibility in ("inherit", "unset") else "visible" if visibility == "initial" else visibility
+        node.silent = visibility in ("hidden", "collapse")
+        node.cut = node.name in HIDDEN or says.get("display") == "none" or (node.name == "input" and a.get("type", "").lower() == "hidden") or (node.name == "dialog" and "open" not in a)
+        if node.parent is not None and node.parent.name == "details" and "open" not in node.parent.attributes and node.name != "summary":
+            node.cut = True
+        if not node.cut:
+            todo += [(c, visibility) for c in node.children if not isinstance(c, str)]
+    _seen(root)
+
+
+def _seen(root: Node) -> None:
+    """Leaves out hidden text, and joins what is nested beyond ``DEEPEST`` to the element at that depth, in order."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        node.children = [c for c in node.children if isinstance(c, str) or not c.cut]
+        if node.silent or (node.name == "details" and "open" not in node.attributes):
+            node.children = [c for c in node.children if not isinstance(c, str)]
+        todo += [c for c in node.children if not isinstance(c, str)]
+    for node in reversed(order):  # a silent element without anything to show has no marker, cell or field of its own
+        node.shown = not node.silent or any(isinstance(c, str) or c.shown for c in node.children)
+    for node in order:
+        if node.depth == DEEPEST:
+            flat, stack = [], list(reversed(node.children))
+            while stack:
+                c = stack.pop()
+                if isinstance(c, str) or not c.children:
+                    flat.append(c)
+                else:
+                    edge = [Node("div", {}, node)] if c.name in BLOCK else []
+                    stack += [*edge, *reversed(c.children), *edge]
+            node.children = flat
+
+
 def visible(node: Node) -> bool:
-    """Whether a browser shows the element."""
-    a = node.attributes
-    if node.name in HIDDEN or "hidden" in a or (node.name == "input" and a.get("type", "").lower() == "hidden"):
-        return False
-    if node.name == "dialog" and "open" not in a:
-        return False
-    return not ("style" in a and _INVISIBLE.search(a["style"]))
+    """Whether anything of the element shows."""
+    return not node.cut and node.shown
+
+
+def width(line: str) -> int:
+    """Columns that a line takes: wide and full-width characters two, combining marks none."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in line)
 
 
 class Flow:
@@ -300,7 +392,7 @@ def _table(node: Node, flow: Flow) -> None:
         column, cells = 0, []
         taken = {c for c, k in below.items() if k > 0}
         below = {c: k - 1 for c, k in below.items() if k > 1}
-        loose = [c for c in row.children if not isinstance(c, str) and visible(c)]
+        loose = [c for c in row.children if not isinstance(c, str) and not c.cut]
         for cell in loose:
             while column in taken:
                 column += 1
@@ -324,11 +416,11 @@ def _table(node: Node, flow: Flow) -> None:
     for cells in grid:
         for column, wide, lines in cells:
             if wide == 1:
-                widths[column] = max(widths.get(column, 0), *(len(x) for x in lines), 0)
+                widths[column] = max(widths.get(column, 0), *(width(x) for x in lines), 0)
     for cells in grid:
         for column, wide, lines in cells:
             if wide > 1:
-                need = max((len(x) for x in lines), default=0) - 3 * (wide - 1) - sum(widths.get(c, 0) for c in range(column, column + wide))
+                need = max((width(x) for x in lines), default=0) - 3 * (wide - 1) - sum(widths.get(c, 0) for c in range(column, column + wide))
                 if need > 0:
                     widths[column + wide - 1] = widths.get(column + wide - 1, 0) + need
     for cells in grid:
@@ -338,7 +430,8 @@ def _table(node: Node, flow: Flow) -> None:
             for at, wide, lines in cells:
                 parts += [" " * widths.get(c, 0) for c in range(column, at)]
                 room = sum(widths.get(c, 0) for c in range(at, at + wide)) + 3 * (wide - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(room))
+                line = lines[k] if k < len(lines) else ""
+                parts.append(line + " " * (room - width(line)))
                 column = at + wide
             flow.add([(" | " if last > 1 else "").join(parts).rstrip()])
 
@@ -374,6 +467,8 @@ def _element(node: Node, flow: Flow) -> None:
         flow.say(" ")
         _children(node, flow)
         flow.say(" ")
+    elif name == "select" and "multiple" not in node.attributes and not re.fullmatch(r"0*(?:[2-9]|[1-9]\d+)", node.attributes.get("size", "1")):
+        _choice(node, flow)
     elif name not in BLOCK:
         _children(node, flow)
     else:
@@ -392,15 +487,24 @@ def _element(node: Node, flow: Flow) -> None:
             _table(node, flow)
         elif name in ("blockquote", "dd"):
             flow.add([f"  {x}" if x else "" for x in _block(node)])
-        elif name == "details" and "open" not in node.attributes:
-            for child in node.children:
-                if not isinstance(child, str) and child.name == "summary":
-                    _element(child, flow)
         else:
             _children(node, flow)
         edge()
 
 
+def _choice(node: Node, flow: Flow) -> None:
+    """A menu of one line shows its selected option (the last one so marked), or else its first."""
+    todo, options = list(reversed(node.children)), []
+    while todo:
+        c = todo.pop()
+        if not isinstance(c, str):
+            options += [c] if c.name == "option" else []
+            todo += reversed(c.children)
+    chosen = [c for c in options if "selected" in c.attributes][-1:] or options[:1]
+    for option in chosen:
+        _children(option, flow)
+
+
 def _in_item(node: Node) -> bool:
     return node.parent is not None and node.parent.name == "li"
 
@@ -421,8 +525,9 @@ def render(source: str | None) -> str:
 def extract_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), out_col: str = "text") -> DataFrame:
     """``keep`` and the visible text of every page, whole.
 
-    Null and empty pages give the empty text.  Elements nested beyond ``DEEPEST`` are laid out at that depth, none is
-    lost.  Repeated rows give repeated results; an empty table gives an empty result.
+    Null and empty pages give the empty text.  Elements nested beyond ``DEEPEST`` keep their text, line breaks and visibility, but no
+    other layout.  Pages of any length are rendered whole.  Repeated rows give repeated results; an empty table gives an empty result;
+    columns not in ``keep`` aren't read, and a kept column of the name ``out_col`` comes back as ``out_col`` with a leading underscore.
     """
 
     def run(batches):
@@ -430,6 +535,6 @@ def extract_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] =
             text = [render(x) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(text, pa.string())], [*b.schema.names[:-1], out_col])
 
-    base = df.select(*keep, html_col)
+    base = df.select(*(exactly(c).alias(c if c.lower() != out_col.lower() else free_name(df, f"_{c}")) for c in keep), exactly(html_col))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[:-1])
-    return base.mapInArrow(run, f"{schema}, {out_col} string")
+    return base.mapInArrow(run, f"{schema}, `{out_col}` string" if len(keep) else f"`{out_col}` string")
