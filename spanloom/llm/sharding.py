@@ -2,12 +2,14 @@
 
 Records are ordered by (64-bit hash of the text, id), so copies lie side by side yet a large group can
 be cut anywhere.  A size-weighted sample of bounded size gives quantile boundaries; ranges that turn out
-overfull by exact count are subdivided from a sample of their own.  Within a range one sort gives each
-record its exact byte position, hence its shard and its slot.
+overfull by exact count are subdivided from a sample of their own, until none is.  Within a range one sort gives each
+record its exact byte position, hence its shard and its slot.  Records larger than a ``LARGE``-th of a shard, of which there
+are at most ``LARGE`` a shard, are dealt first, the largest to the least full shard; the others fill up what these leave.
 """
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_right
 
 import numpy as np
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MIX = 0x5EED
+LARGE = 128
 
 
 def _sample(rows: DataFrame, total: int, want: int, seed: int) -> list[tuple[int, int, float]]:
@@ -57,13 +60,39 @@ def _assign(rows: DataFrame, boundaries: list[tuple[int, int]]) -> DataFrame:
     return rows.mapInArrow(run, "id long, size long, text_crc32 long, key long, part int")
 
 
+def _dealt(sizes: list[int], shards: int) -> tuple[list[int], list[int]]:
+    """The shard of each of the sizes, largest first to the least full, and the shards' loads."""
+    heap, load, out = [(0, s) for s in range(shards)], [0] * shards, []
+    for size in sizes:
+        _, s = heapq.heappop(heap)
+        load[s] += size
+        out.append(s)
+        heapq.heappush(heap, (load[s], s))
+    return out, load
+
+
+def _room(load: list[int], small: int) -> list[int]:
+    """Where each shard ends in the run of ``small`` bytes, so that all fill up to one level."""
+    shards, level = len(load), 0.0
+    for k, x in enumerate(sorted(load), 1):
+        if k == shards or (small + sum(sorted(load)[:k])) / k <= sorted(load)[k]:
+            level = (small + sum(sorted(load)[:k])) / k
+            break
+    ends, run = [], 0.0
+    for x in load:
+        run += max(level - x, 0)
+        ends.append(round(run))
+    return ends
+
+
 def shard_by_bytes(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", ranges: int = 0, oversample: int = 16, overfull: float = 2.0) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every record, by the law ``bytes``.
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 16.  Shards hold consecutive records of the order
-    (text hash, id) and differ in bytes by a record's size at most.  Slots are gapless from 0.  Sample and
-    boundaries are bounded by ``ranges`` * ``oversample``, whatever the input.  Repeated rows are separate
-    records; null ids count as the least; an empty table gives an empty result.
+    (text hash, id), besides large ones, and differ in bytes by less than a hundredth of their mean, unless a single record exceeds it.
+    Slots are gapless from 0.  Sample and boundaries are bounded by ``ranges`` * ``oversample``, the large records by ``LARGE`` *
+    ``shards``, whatever the input.  Repeated rows are separate records; null ids count as the least; extra columns aren't read; an
+    empty table gives an empty result.
     """
     ranges = ranges or 8 * shards
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -71,23 +100,29 @@ def shard_by_bytes(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text
         df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.lit(MIX)).alias("key")),
         "sizes",
     )
+    cut = (rows.agg(F.sum("size")).first()[0] or 0) // (shards * LARGE)
+    large = sorted(((r[1], r[0], r[2]) for r in rows.filter(F.col("size") > cut).select("id", "size", "text_crc32").collect()), reverse=True)
+    where, load = _dealt([size for size, *_ in large], shards)
+    rows = rows.filter(F.col("size") <= cut)
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     total = total or 0
+    ends = _room(load, total)
     boundaries = _quantiles(_sample(rows, total, ranges * oversample, 1), ranges) if count else []
-    for attempt in range(4):
+    attempt = 0
+    while True:
         parts = _assign(rows, boundaries)
         sums = {r[0]: (r[1], r[2], r[3]) for r in parts.groupBy("part").agg(F.sum("size"), F.count("*"), F.max("size")).collect()}
         full = [p for p, (b, n, most) in sums.items() if n > 1 and b - most > overfull * total / ranges]
-        if not full or attempt == 3:
-            break
         within = parts.filter(F.col("part").isin(full))
         heavy = sum(sums[p][0] for p in full)
-        drawn = _sample(within.select("id", "size", "key"), heavy, len(full) * 8 * oversample, 2 + attempt)
+        drawn = _sample(within.select("id", "size", "key"), heavy, len(full) * 8 * oversample, 2 + attempt) if full else []
         cuts: set[tuple[int, int]] = set()
         for p in full:
             own = [s for s in drawn if bisect_right(boundaries, (s[0], s[1])) == p]
             cuts.update(_quantiles(own, max(2, round(2 * sums[p][0] * ranges / max(total, 1)))))
-        boundaries = sorted({*boundaries, *cuts})
+        if cuts <= set(boundaries):  # nothing overfull, but for rows that repeat
+            break
+        boundaries, attempt = sorted({*boundaries, *cuts}), attempt + 1
     spark, at_bytes, at_rows, offsets = df.sparkSession, 0, 0, []
     for p in sorted(sums):
         offsets.append((p, at_bytes, at_rows))
@@ -100,12 +135,17 @@ def shard_by_bytes(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text
         .withColumn("twice_middle", 2 * (F.col("bytes_before") + F.col("run")) - F.col("size"))
         .select(
             "id", "size", "text_crc32",
-            F.least(F.lit(shards - 1), F.expr(f"cast(twice_middle * {shards} div {2 * max(total, 1)} as int)")).alias("shard"),
+            F.least(F.lit(shards - 1), F.size(F.filter(F.array(*(F.lit(2 * e).cast("long") for e in ends)), lambda e: e <= F.col("twice_middle")))).alias("shard"),
             (F.col("rows_before") + F.col("row")).cast("long").alias("at"),
         )
     )
     placed = materialize(placed, "placed")
-    first = placed.groupBy("shard").agg(F.min("at").alias("first"))
-    return placed.join(F.broadcast(first), "shard").select(
-        F.when(F.col("id") != -(1 << 63), F.col("id")).alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    first = {r[0]: (r[1], r[2]) for r in placed.groupBy("shard").agg(F.min("at"), F.count("*")).collect()}
+    begins = F.array(*(F.lit(first.get(k, (0, 0))[0]).cast("long") for k in range(shards)))
+    small = placed.select("id", "size", "text_crc32", "shard", (F.col("at") - F.get(begins, F.col("shard"))).alias("slot"))
+    used, more = [first.get(k, (0, 0))[1] for k in range(shards)], []
+    for (size, id_, crc), k in zip(large, where):
+        more.append((id_, size, crc, k, used[k]))
+        used[k] += 1
+    both = small.unionByName(spark.createDataFrame(more, "id long, size long, text_crc32 long, shard int, slot long")) if more else small
+    return both.select(F.when(F.col("id") != -(1 << 63), F.col("id")).alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
