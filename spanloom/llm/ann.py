@@ -7,7 +7,8 @@ need, which is safe, since in the full set neighbours are nearer.  Entries of th
 the exact product.
 
 Equal vectors are one entry with its least ids: no query can return more than k + 1 of them, since ties go to
-smaller ids.  Entries of one first centroid are dealt into blocks of bounded size; queries reach all of them.
+smaller ids.  Entries of one first centroid are dealt into blocks of bounded size, queries into slices of bounded
+size; each slice reaches all the blocks, and a task multiplies few queries at a time.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SAMPLE, CALIBRATE, BLOCK = 16_384, 256, 4096
+SAMPLE, CALIBRATE, BLOCK, ASKING, AT_ONCE = 16_384, 256, 4096, 1 << 15, 256
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
@@ -66,7 +67,7 @@ class Index:
     """Two codebooks, and the share of rows to gather."""
 
     def __init__(self, sample: np.ndarray, k: int, neighbours: int, target: float):
-        self.half = sample.shape[1] // 2
+        self.half = max(1, sample.shape[1] // 2)
         self.first, self.second = kmeans(sample[:, : self.half], k), kmeans(sample[:, self.half :], k)
         self.share = self._calibrated(sample, neighbours, target)
 
@@ -104,18 +105,21 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def nearest_neighbours(df: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", centroids: int = 0, target: float = 0.96) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's ``k`` nearest other rows, nearest first, ties to smaller ids.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part; of different
-    lengths only the most frequent takes part.  Repeated ids count once for each vector; null ids take no part.  An
-    empty table, or one vector, gives an empty result.  ``centroids`` per half: by default sqrt(rows) / 3, 8 to 256.
+    Vectors that are null, empty, zero, or hold null or non-finite components take no part; nor do null ids.  Where
+    lengths differ, shorter vectors count as continued by zeros.  Rows of one id count once, with the least of their vectors.
+    Extra columns aren't read.  An empty table, or one vector, gives an empty result.  ``centroids`` per half: by default
+    sqrt(rows) / 3, 8 to 256.
     """
     spark = df.sparkSession
     v = F.col("vec")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 1))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.filter(~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0))
-    lengths = rows.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = lengths[0][0] if lengths else 2
-    rows = rows.filter(F.size(v) == dim)
+    dim, short = rows.agg(F.max(F.size(v)), F.min(F.size(v))).first()
+    dim = dim or 2
+    if short != dim:
+        rows = rows.withColumn("vec", F.concat(v, F.array_repeat(F.lit(0).cast(rows.schema["vec"].dataType.elementType), dim - F.size(v))))
+    rows = rows.groupBy("id").agg(F.min("vec").alias("vec"), F.max("asks").alias("asks"))
     order = Window.partitionBy("vec").orderBy("id")
     least = rows.select("vec", "id").withColumn("place", F.dense_rank().over(order)).filter(F.col("place") <= k + 1)
     entries = materialize(least.groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("node", F.col("ids")[0]), "entries", tidy=True)
@@ -159,6 +163,8 @@ def nearest_neighbours(df: DataFrame, is_query: F.Column, k: int = 20, id_col: s
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(first, pa.int32()), pa.array(block, pa.int32()), pa.array(second, pa.list_(pa.int32()))], ["node", "vec", "c1", "block", "cells"])
 
+    index_cells = range(len(index.second))
+
     def reranked(stored: pa.Table, asking: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if stored.num_rows and asking.num_rows:
@@ -166,12 +172,17 @@ def nearest_neighbours(df: DataFrame, is_query: F.Column, k: int = 20, id_col: s
             c2 = stored.column("c2").to_numpy()
             ids = stored.column("ids").to_pylist()
             low = np.array([x[0] for x in ids])
-            product = q @ e.T
-            for r, (node, own) in enumerate(zip(asking.column("node").to_pylist(), asking.column("cells").to_pylist())):
-                some = np.flatnonzero(np.isin(c2, own))
+            nodes, visited = asking.column("node").to_pylist(), asking.column("cells").to_pylist()
+            for r, (node, own) in enumerate(zip(nodes, visited)):
+                if r % AT_ONCE == 0:
+                    product = q[r : r + AT_ONCE] @ e.T
+                reach = np.zeros(len(index_cells), dtype=bool)
+                reach[own] = True
+                some = np.flatnonzero(reach[c2])
+                near = product[r % AT_ONCE, some]
                 if len(some) > 2 * k + 16:
-                    cut = np.partition(product[r, some], -(k + 1))[-(k + 1)]
-                    some = some[product[r, some] >= cut - 1e-9 * max(1.0, abs(cut))]
+                    cut = np.partition(near, -(k + 1))[-(k + 1)]
+                    some = some[near >= cut - 1e-9 * max(1.0, abs(cut))]
                 exact = (e[some] * q[r]).sum(axis=1)
                 best = np.lexsort((low[some], -exact))[: k + 1]
                 pairs = sorted((-float(exact[p]), i) for p in best for i in ids[some[p]])[: k + 1]
@@ -180,10 +191,13 @@ def nearest_neighbours(df: DataFrame, is_query: F.Column, k: int = 20, id_col: s
                 out[2].append([i for _, i in pairs])
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64())))], ["node", "scores", "found"])
 
-    queries = asked.select("node").distinct().join(cells.select("node", "vec"), "node").mapInArrow(walked, f"node long, vec {element}, c1 int, block int, cells array<int>")
+    asking = materialize(asked.select("node").distinct(), "asking")
+    slices = -(-max(asking.count(), 1) // ASKING)
+    queries = asking.join(cells.select("node", "vec"), "node").mapInArrow(walked, f"node long, vec {element}, c1 int, block int, cells array<int>")
     many = spark.createDataFrame([(i, int(m)) for i, m in enumerate(blocks)], "c1 int, blocks int")
-    dealt = cells.join(F.broadcast(many), "c1").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).select("vec", "ids", "c1", "c2", "block")
-    part = dealt.groupBy("c1", "block").cogroup(queries.groupBy("c1", "block")).applyInArrow(reranked, "node long, scores array<double>, found array<long>")
+    dealt = cells.join(F.broadcast(many), "c1").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).select("vec", "ids", "c1", "c2", "block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("part"))
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("node", F.lit(4)), F.lit(slices)).cast("int"))
+    part = dealt.groupBy("c1", "block", "part").cogroup(queries.groupBy("c1", "block", "part")).applyInArrow(reranked, "node long, scores array<double>, found array<long>")
     each = part.select("node", F.explode(F.arrays_zip("scores", "found")).alias("x")).select("node", F.col("x.scores").alias("score"), F.col("x.found").alias("vec_id"))
     best = Window.partitionBy("node").orderBy(F.desc("score"), "vec_id")
     top = each.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("top"))

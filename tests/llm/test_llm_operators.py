@@ -364,7 +364,7 @@ def test_neighbours(spark):
     x = (centres[rng.integers(0, 12, 900)] + 0.3 * rng.normal(size=(900, 16))).astype(np.float32)
     x[500:800] = x[500]  # a hot vector
     data = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
-    data += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] + [1.0] * 15, 1), (904, [float("inf")] * 16, 1), (905, [1.0] * 3, 1), (None, [1.0] * 16, 1), (20, data[20][1], 1)]
+    data += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] + [1.0] * 15, 1), (904, [float("inf")] * 16, 1), (905, [], 1), (None, [1.0] * 16, 1), (20, data[20][1], 1)]
     got = ann.nearest_neighbours(spark.createDataFrame(data, "vec_id long, embedding array<float>, node int").repartition(3), F.col("vec_id") % 20 == 0, 20).toPandas()
     assert set(got["query_id"]) == set(range(0, 900, 20))
     hits = 0
@@ -382,6 +382,32 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(few.limit(0), F.lit(True), 20).count() == 0
 
 
+@pytest.mark.parametrize("asking", [1 << 15, 7])
+def test_neighbours_of_vectors_without_clusters(spark, asking, monkeypatch):
+    monkeypatch.setattr(ann, "ASKING", asking)
+    x = np.random.default_rng(7).normal(size=(3000, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = ann.nearest_neighbours(df, F.col("vec_id") % 50 == 0, 20).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        s = (x.astype(float) * x[q].astype(float)).sum(axis=1)
+        s[q] = -np.inf
+        assert len(g) == 20 and np.allclose(g["score"], s[g["vec_id"]], rtol=1e-12)
+        hits += len(set(np.lexsort((np.arange(3000), -s))[:20]) & set(g["vec_id"]))
+    print("recall", hits / 1200)
+    assert got["query_id"].nunique() == 60 and hits / 1200 >= 0.9
+
+
+def test_neighbours_of_any_length(spark):
+    """One-dimensional vectors; shorter ones, continued by zeros; a repeated id, with its least vector."""
+    one = spark.createDataFrame([(i, [float(i - 3)]) for i in range(8)], "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(one, F.col("vec_id") == 7, 3).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(6, 12.0), (5, 8.0), (4, 4.0)]
+    mixed = [(0, [1.0, 2.0, 3.0]), (1, [5.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0, 1.0]), (4, [9.0]), (4, [2.0, 0.0, 0.0])]
+    got = ann.nearest_neighbours(spark.createDataFrame(mixed, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 9).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 5.0), (2, 3.0), (3, 3.0), (4, 2.0)]
+
+
 def test_walk_is_by_descending_sum():
     rng = np.random.default_rng(1)
     a, b, sizes = rng.normal(size=9), rng.normal(size=7), rng.integers(0, 4, (9, 7))
