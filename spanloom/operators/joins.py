@@ -69,25 +69,33 @@ def overlap_total(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def within(a: DataFrame, b: DataFrame, tol: float) -> DataFrame:
-    """Points of ``a`` (v, t) that have one of ``b`` within ``tol``."""
-    o = b.select(F.col("v").alias("b_v"), F.col("t").alias("b_t"))
-    return a.join(o, (F.col("v") == F.col("b_v")) & (F.abs(F.col("t") - F.col("b_t")) <= tol), "left_semi")
+    """Points of ``a`` (v, t) that have one of ``b`` within ``tol``: those whose nearest is."""
+    return nearest(a.select("v", "t"), b).filter(F.abs(F.col("t") - F.col("near")) <= tol).select("v", "t")
 
 
 def speaker_change(points: DataFrame, turns: DataFrame, tol: float = 2.0) -> DataFrame:
-    """v, t, before, after, changed: the last speaker who ended by t + tol and the first who starts from t - tol on."""
-    r = turns.select(F.col("v").alias("r_v"), F.col("ord").alias("r_ord"), F.col("start").alias("rs"), F.col("end").alias("re"), "speaker")
-    j = points.join(r, F.col("v") == F.col("r_v"), "left").groupBy("v", "t")
-    key = F.struct("rs", "r_ord")
-    out = j.agg(F.max_by("speaker", F.when(F.col("re") <= F.col("t") + tol, key)).alias("before"), F.min_by("speaker", F.when(F.col("rs") >= F.col("t") - tol, key)).alias("after"))
-    return out.withColumn("changed", F.coalesce(F.col("before") != F.col("after"), F.lit(False)))
+    """v, t, before, after, changed: the last speaker who ended by t + tol and the first who starts from t - tol on.
+
+    Points and turns are one table in the order of time, so that a timeline is sorted twice and no pairs are made.
+    """
+    said = F.struct("start", "ord", "speaker")
+    rows = turns.select("v", F.lit(None).cast("double").alias("t"), F.col("end").alias("k1"), F.col("start").alias("k2"), said.alias("said"), F.lit(0).alias("side"))
+    rows = rows.unionByName(points.select("v", "t", (F.col("t") + tol).alias("k1"), (F.col("t") - tol).alias("k2"), F.lit(None).cast(rows.schema["said"].dataType).alias("said"), F.lit(1).alias("side")))
+    ended = Window.partitionBy("v").orderBy("k1", "side").rowsBetween(Window.unboundedPreceding, 0)
+    starts = Window.partitionBy("v").orderBy("k2", F.desc("side")).rowsBetween(0, Window.unboundedFollowing)
+    out = rows.withColumns({"before": F.max("said").over(ended)["speaker"], "after": F.min("said").over(starts)["speaker"]}).filter("side = 1")
+    return out.select("v", "t", "before", "after", F.coalesce(F.col("before") != F.col("after"), F.lit(False)).alias("changed"))
 
 
 def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """v, t, near: the nearest target (v, t) of the timeline, the earlier on a tie."""
-    o = targets.select(F.col("v").alias("b_v"), F.col("t").alias("b_t"))
-    j = points.join(o, F.col("v") == F.col("b_v"), "left")
-    return j.groupBy("v", "t").agg(F.min_by("b_t", F.struct(F.abs(F.col("t") - F.col("b_t")), "b_t")).alias("near"))
+    """v, t, near: the nearest target (v, t) of the timeline, the earlier on a tie; one sorted pass."""
+    rows = targets.select("v", F.col("t").alias("k"), F.col("t").alias("target"), F.lit(0).alias("side"))
+    rows = rows.unionByName(points.select("v", F.col("t").alias("k"), F.lit(None).cast("double").alias("target"), F.lit(1).alias("side")))
+    w = Window.partitionBy("v").orderBy("k", "side")
+    low, high = F.last("target", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("target", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    out = rows.withColumns({"low": low, "high": high}).filter("side = 1")
+    near = F.when(F.col("low").isNull() | (F.col("high") - F.col("k") < F.col("k") - F.col("low")), F.col("high")).otherwise(F.col("low"))
+    return out.select("v", F.col("k").alias("t"), near.alias("near"))
 
 
 def stitch(candidates: DataFrame, turns: DataFrame, tol: float = 12.0) -> DataFrame:

@@ -79,16 +79,23 @@ def units(points: DataFrame, durations: DataFrame, step: float = 1.0) -> DataFra
 
 
 def segmentation_errors(pred: DataFrame, gold: DataFrame, durations: DataFrame, step: float = 1.0) -> DataFrame:
-    """v, n, k, pk, windowdiff of internal boundaries (v, t)."""
+    """v, n, k, pk, windowdiff of internal boundaries (v, t).
+
+    The boundaries between units u and u + k change only where u passes one or comes within k of one, so errors are
+    counted by the lengths between those points: rows grow with boundaries, not with seconds.
+    """
     pu, gu = units(internal(pred, durations, step), durations, step), units(internal(gold, durations, step), durations, step)
     base = durations.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("duration") / step)).cast("long")).join(gu.groupBy("v").agg(F.count("*").alias("refs")), "v", "left").na.fill(0, ["refs"])
     base = base.withColumn("k", F.greatest(F.lit(1), F.bround(F.col("n") / (F.col("refs") + 1) / 2)).cast("long")).select("v", "n", "k")
-    mark = lambda df, name: df.select("v", "u", F.lit(1).alias(name))
-    grid = base.select("v", "n", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("u")).join(mark(gu, "g"), ["v", "u"], "left").join(mark(pu, "p"), ["v", "u"], "left").na.fill(0, ["g", "p"])
-    w = Window.partitionBy("v").orderBy("u").rowsBetween(Window.unboundedPreceding, 0)
-    lab = grid.withColumns({"r": F.sum("g").over(w), "h": F.sum("p").over(w)}).select("v", "u", "n", "k", "r", "h")
-    ahead = lab.select("v", (F.col("u") - F.col("k")).alias("u"), F.col("r").alias("r2"), F.col("h").alias("h2"))
-    j = lab.join(ahead, ["v", "u"]).groupBy("v").agg(
-        F.count("*").alias("c"), F.sum(((F.col("r") == F.col("r2")) != (F.col("h") == F.col("h2"))).cast("long")).alias("e1"), F.sum(((F.col("r2") - F.col("r")) != (F.col("h2") - F.col("h"))).cast("long")).alias("e2")
+    pairs = (F.col("n") - F.col("k")).alias("pairs")
+    moves = lambda df, g, p: df.join(base, "v").select("v", pairs, F.explode(F.array(F.struct(F.greatest(F.col("u") - F.col("k"), F.lit(0)).alias("u"), F.lit(g).alias("g"), F.lit(p).alias("p")), F.struct(F.col("u").alias("u"), F.lit(-g).alias("g"), F.lit(-p).alias("p")))).alias("x")).select("v", "pairs", "x.*")
+    first = base.select("v", pairs, F.lit(0).cast("long").alias("u"), F.lit(0).alias("g"), F.lit(0).alias("p"))
+    steps = first.unionByName(moves(gu, 1, 0)).unionByName(moves(pu, 0, 1)).groupBy("v", "pairs", "u").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    w = Window.partitionBy("v").orderBy("u")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    spans = steps.withColumns({"r": F.sum("g").over(run), "h": F.sum("p").over(run), "next": F.coalesce(F.lead("u").over(w), F.col("pairs"))})
+    spans = spans.withColumn("many", F.greatest(F.least("next", "pairs") - F.col("u"), F.lit(0)))
+    j = spans.groupBy("v").agg(
+        F.max(F.greatest("pairs", F.lit(0))).alias("c"), F.sum(F.when((F.col("r") == 0) != (F.col("h") == 0), F.col("many")).otherwise(0)).alias("e1"), F.sum(F.when(F.col("r") != F.col("h"), F.col("many")).otherwise(0)).alias("e2")
     )
     return base.join(j, "v", "left").select("v", "n", "k", _ratio(F.col("e1"), F.col("c"), F.lit(0.0)).alias("pk"), _ratio(F.col("e2"), F.col("c"), F.lit(0.0)).alias("windowdiff"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.scalars import near, title_card
@@ -138,30 +142,46 @@ def shot_samples(shots: DataFrame, frames: int = 3) -> DataFrame:
     return s.select("v", "ord", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.col("start") + (k + 0.5) / F.col("n") * dur).alias("times"))
 
 
-def lexical_tokens(turns: DataFrame, block: int = 20) -> DataFrame:
-    """v, pos, block, t, word: topic words of a timeline in order, in blocks of ``block``."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z']+)")), lambda x: (F.length(x) > 2) & ~x.isin(STOP_WORDS.split()))
-    each = turns.withColumn("w", words).select("v", "ord", "start", F.greatest(F.col("end") - F.col("start"), F.lit(0.01)).alias("dur"), F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
-    pos = F.row_number().over(Window.partitionBy("v").orderBy("ord", "i")) - 1
-    return each.select("v", (F.col("start") + F.col("dur") * F.col("i") / F.col("n")).alias("t"), "word", pos.alias("pos")).withColumn("block", F.floor(F.col("pos") / block).cast("int"))
+def topic_words(text: Column) -> Column:
+    """The words of a text that carry its topic, in order."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z']+)")), lambda x: (F.length(x) > 2) & ~x.isin(STOP_WORDS.split()))
 
 
 def lexical_similarity(turns: DataFrame, block: int = 20, width: int = 6) -> DataFrame:
     """v, gap, t, sim: cosine of the word counts of the ``width`` blocks on either side of each gap between blocks.
 
-    Timelines of fewer than 2 * ``width`` blocks have none.  Each block adds its counts to the gaps within reach.
+    A block is ``block`` topic words of a timeline in order; timelines of fewer than 2 * ``width`` blocks have none.  One
+    exchange on the timeline; the two windows slide over its blocks, so a word is counted in and out of each once.
     """
-    tokens = lexical_tokens(turns, block)
-    counts = tokens.groupBy("v", "block", "word").agg(F.count("*").alias("n"))
-    size = tokens.groupBy("v").agg((F.max("block") + 1).alias("blocks")).filter(F.col("blocks") >= 2 * width)
-    each = counts.join(size, "v")
-    reach = lambda lo, hi: F.explode(F.sequence(F.greatest(F.lit(1), lo), F.least(F.col("blocks") - 1, hi)))
-    left = each.filter(F.col("block") + 1 <= F.col("blocks") - 1).select("v", "word", "n", reach(F.col("block") + 1, F.col("block") + width).alias("gap"), F.lit(0).alias("side"))
-    right = each.filter(F.col("block") >= 1).select("v", "word", "n", reach(F.col("block") - width + 1, F.col("block")).alias("gap"), F.lit(1).alias("side"))
-    sides = left.unionByName(right).groupBy("v", "gap", "word").agg(F.coalesce(F.sum(F.when(F.col("side") == 0, F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col("side") == 1, F.col("n"))), F.lit(0)).alias("b"))
-    sums = sides.groupBy("v", "gap").agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
-    at = tokens.groupBy("v", F.col("block").alias("gap")).agg(F.min_by("t", "pos").alias("t"))
-    return sums.join(at, ["v", "gap"]).select("v", "gap", "t", F.coalesce(F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")), F.lit(0.0)).alias("sim"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord", kind="stable")
+        words, times = [], []
+        for start, dur, own in zip(pdf["start"], pdf["dur"], pdf["w"]):
+            n = len(own)
+            times += [start + dur * i / n for i in range(n)]
+            words += own.tolist() if hasattr(own, "tolist") else list(own)
+        counts = [Counter(words[a : a + block]) for a in range(0, len(words), block)]
+        out, n = [], len(counts)
+        if n < 2 * width:
+            counts, n = [], 0
+        left, right = (Counter(counts[0]), sum(counts[1 : 1 + width], Counter())) if counts else (Counter(), Counter())
+        for gap in range(1, n):
+            small, large = sorted((left, right), key=len)
+            ab, aa, bb = (float(sum(v * o.get(k, 0) for k, v in x.items())) for x, o in ((small, large), (left, left), (right, right)))
+            out.append((pdf["v"].iloc[0], gap, times[gap * block], ab / (math.sqrt(aa) * math.sqrt(bb)) if aa and bb else 0.0))
+            left.update(counts[gap])
+            right.subtract(counts[gap])
+            if gap + width < n:
+                right.update(counts[gap + width])
+            if gap >= width:
+                left.subtract(counts[gap - width])
+            if gap % 64 == 0:  # forget words that are no longer in reach
+                left, right = +left, +right
+        return pd.DataFrame(out, columns=["v", "gap", "t", "sim"])
+
+    own = turns.select("v", "ord", "start", F.greatest(F.col("end") - F.col("start"), F.lit(0.01)).alias("dur"), topic_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    return own.groupBy("v").applyInPandas(fold, "v long, gap int, t double, sim double")
 
 
 def lexical_boundaries(turns: DataFrame, block: int = 20, width: int = 6, c: float = 0.3) -> DataFrame:

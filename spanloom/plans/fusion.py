@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.config import DEFAULT, Config
 from spanloom.functions.scalars import normalize_category
 from spanloom.operators import aggs, folds, intervals, joins, sequences
+from spanloom.staging import staged
 
 
 def speech_windows(turns: DataFrame, gap: float = 5.0) -> DataFrame:
@@ -22,11 +23,12 @@ def dead_and_content(regions: DataFrame, durations: DataFrame, turns: DataFrame
 
 def fuse(shots: DataFrame, turns: DataFrame, splices: DataFrame) -> DataFrame:
     """Stories of timelines with speech: shots (v, ord, start, end), turns and splices (v, start, end) to v, ord, start, end, label, name, speakers."""
-    hosts = aggs.detect_host(turns)
+    turns, shots, splices = staged(turns, "turns"), staged(shots, "shots"), staged(splices, "splices")
+    hosts = staged(aggs.detect_host(turns), "hosts")
     fused = joins.attach(shots, turns)
     edges = splices.select("v", F.explode(F.array("start", "end")).alias("t"))
     cuts = sequences.lexical_boundaries(turns).unionByName(sequences.pause_boundaries(turns)).unionByName(edges).distinct()
-    pieces = joins.split_on_topics(sequences.merge_by_speaker(fused, hosts), cuts, shots)
+    pieces = staged(joins.split_on_topics(sequences.merge_by_speaker(fused, hosts), cuts, shots), "pieces")
     said = joins.segment_text(pieces, turns)
     rich = said.join(aggs.dominant_role(pieces, turns, hosts), ["v", "ord"]).join(aggs.segment_guests(pieces, turns, hosts), ["v", "ord"])
     labelled = rich.withColumns({"label": normalize_category(F.lit(""), F.col("transcript")), "name": F.substring("transcript", 1, 40)})
@@ -36,6 +38,7 @@ def fuse(shots: DataFrame, turns: DataFrame, splices: DataFrame) -> DataFrame:
 def timeline(stories: DataFrame, dead: DataFrame, turns: DataFrame, durations: DataFrame) -> DataFrame:
     """Timeline rows (v, ord, start, end, type, title): stories around dead spans of half a second or more, blank pieces dead, the ends snapped."""
     kind = F.create_map(*(F.lit(x) for p in (("bars", "Color bars (auto-detected)"), ("snow", "Video static/snow (auto-detected)"), ("black", "Black gap (auto-detected)"), ("white", "White gap (auto-detected)")) for x in p))
+    stories, dead, turns = staged(stories, "stories"), staged(dead, "dead"), staged(turns, "turns")
     holes = dead.filter(F.col("end") - F.col("start") >= 0.5)
     pieces = intervals.subtract(stories.select("v", "ord", "start", "end"), holes)
     uncut = stories.select("v", "ord", F.col("start").alias("s0"), F.col("end").alias("e0"), "label", "name")

@@ -11,6 +11,7 @@ from spanloom.functions import scalars as sc
 from spanloom.operators import aggs, events, folds, intervals, joins, scoring, sequences
 from spanloom.plans import fusion
 from spanloom.sources import documents, views
+from spanloom.staging import staged
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -159,13 +160,13 @@ def overlap_join_bucketed(s, d):
     return j.select("v", "ord", "r_ord", F.round("overlap", 6).alias("overlap"))
 
 
-SHOTS = """shots as (select v, row_number() over (partition by v order by ord) as ord, "start", "start" + 20::double as "end" from turns where ord % 2 = 0)"""
+SHOTS = """shots as (select v, row_number() over (partition by v order by ord) as ord, "start", "start" + 20::double as "end" from turns)"""
 
 
-def _shots(s, d):
-    t = views.turns(s, d).filter("ord % 2 = 0")
+def _shots(s, d, t=None):
     from pyspark.sql import Window
 
+    t = t if t is not None else views.turns(s, d)
     return t.select("v", F.row_number().over(Window.partitionBy("v").orderBy("ord")).cast("long").alias("ord"), "start", (F.col("start") + 20.0).alias("end"))
 
 
@@ -337,10 +338,10 @@ def split_on_topics(s, d):
 
 @query()
 def fused_timeline(s, d):
-    t = views.turns(s, d)
+    t = staged(views.turns(s, d), "turns")
     dur = t.groupBy("v").agg(F.max("end").alias("duration"))
     dead = sequences.pause_boundaries(t).select("v", (F.col("t") - 0.4).alias("start"), (F.col("t") + 0.4).alias("end"), F.lit("black").alias("kind"))
-    return fusion.timeline(fusion.fuse(_shots(s, d), t, dead.select("v", "start", "end")), dead, t, dur)
+    return fusion.timeline(fusion.fuse(_shots(s, d, t), t, dead.select("v", "start", "end")), dead, t, dur)
 
 
 def _pred_gold(s, d):
