@@ -1,17 +1,45 @@
 """Ordered folds: the operators whose state depends on what they decided before.
 
-Groups are single timelines of tens to thousands of rows; each runs as one grouped map.
+Groups are single timelines of tens to thousands of rows; each is read from a sorted stream.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
 
+def per_timeline(df: DataFrame, fold: Callable[[object, list[dict]], Iterable[tuple]], schema: str, *order: str) -> DataFrame:
+    """``fold`` (v, rows in order) -> rows, for each timeline: one exchange on v and one sort, then a stream of whole timelines."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-def _rows(df: pd.DataFrame, *order: str) -> list[dict]:
-    return df.sort_values(list(order), kind="stable").to_dict("records")
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    def run(batches):
+        current, rows, out = None, [], []
+        for b in batches:
+            for r in b.to_pylist():
+                if rows and r["v"] != current:
+                    out += fold(current, rows)
+                    rows = []
+                current = r["v"]
+                rows.append(r)
+            if out:
+                yield packed(out)
+                out = []
+        if rows:
+            out += fold(current, rows)
+        if out:
+            yield packed(out)
+
+    return df.repartition("v").sortWithinPartitions("v", *order).mapInArrow(run, schema)
 
 
 def coalesce_conversation(segments: DataFrame, splices: DataFrame | None = None, segue: float = 20.0, tol: float = 1.0) -> DataFrame:
@@ -27,17 +55,15 @@ def coalesce_conversation(segments: DataFrame, splices: DataFrame | None = None,
     def voices(s: dict) -> set:
         return set().union(*(r["who"] for r in s["rows"]))
 
-    def fold(pdf: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
-        spans = list(zip(cuts["start"], cuts["end"])) if len(cuts) else []
+    def fold(v, pieces: list[dict]) -> list[tuple]:
+        spans = [(x["start"], x["end"]) for x in pieces[0]["splices"] or ()]
 
         def spliced(a: float, b: float) -> bool:
             return any(s <= max(a, b) + tol and e >= min(a, b) - tol for s, e in spans)
 
-        if not len(pdf):
-            return pd.DataFrame(columns=["v", "ord", "start", "end", "label", "name", "speakers"])
         stories: list[dict] = []
         waiting: list[dict] = []
-        for row in _rows(pdf, "ord"):
+        for row in pieces:
             row["who"] = set(row["guests"]) if row["role"] == "guest" and row["guests"] is not None else set()
             if not row["who"]:
                 waiting.append(row)
@@ -70,49 +96,71 @@ def coalesce_conversation(segments: DataFrame, splices: DataFrame | None = None,
                 p["speakers"] = list(dict.fromkeys([*p["speakers"], *s["speakers"]]))
             else:
                 done.append(s)
-        v = pdf["v"].iloc[0]
-        return pd.DataFrame([(v, k, s["start"], s["end"], s["label"], s["name"], s["speakers"]) for k, s in enumerate(done)], columns=["v", "ord", "start", "end", "label", "name", "speakers"])
+        return [(v, k, s["start"], s["end"], s["label"], s["name"], s["speakers"]) for k, s in enumerate(done)]
 
-    holes = splices.select("v", "start", "end") if splices is not None else segments.select("v", "start", "end").limit(0)
-    return segments.groupBy("v").cogroup(holes.groupBy("v")).applyInPandas(fold, "v long, ord long, start double, end double, label string, name string, speakers array<string>")
+    rows = segments.select("v", "ord", "start", "end", "role", "guests", "label", "name", "speakers")
+    if splices is None:
+        rows = rows.withColumn("splices", F.array().cast("array<struct<start:double,end:double>>"))
+    else:
+        rows = rows.join(splices.groupBy("v").agg(F.collect_list(F.struct("start", "end")).alias("splices")), "v", "left")
+    return per_timeline(rows, fold, "v long, ord long, start double, end double, label string, name string, speakers array<string>", "ord")
 
 
 def consolidate_segments(spans: DataFrame, most: int = 0, least: float = 0.0) -> DataFrame:
-    """The shortest span joins its longer neighbour (left on a tie) until all last ``least`` seconds and at most ``most`` are left."""
+    """The shortest span joins its longer neighbour (left on a tie) until all last ``least`` seconds and at most ``most`` are left.
 
-    def merged(rows: list[list]) -> list[list]:
-        out: list[list] = []
-        for a, b, label in rows:
-            if out and out[-1][2] == label:
-                out[-1][1] = b
-            else:
-                out.append([a, b, label])
-        return out
+    Spans are a linked list with a heap of durations, so a merge costs a logarithm.
+    """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = merged([[r["start"], r["end"], r["label"]] for r in _rows(pdf, "ord")])
-        while len(rows) > 1:
-            k = min(range(len(rows)), key=lambda i: rows[i][1] - rows[i][0])
-            if not (least and rows[k][1] - rows[k][0] < least) and not (most and len(rows) > most):
-                break
-            left = rows[k - 1][1] - rows[k - 1][0] if k else -1.0
-            right = rows[k + 1][1] - rows[k + 1][0] if k + 1 < len(rows) else -1.0
-            if left >= right:
-                rows[k - 1][1] = rows[k][1]
+    def fold(v, rows: list[dict]) -> list[tuple]:
+        spans: list[list] = []
+        for r in rows:
+            if spans and spans[-1][2] == r["label"]:
+                spans[-1][1] = r["end"]
             else:
-                rows[k + 1][0] = rows[k][0]
-            rows = merged(rows[:k] + rows[k + 1 :])
-        return pd.DataFrame([(pdf["v"].iloc[0], i, *r) for i, r in enumerate(rows)], columns=["v", "ord", "start", "end", "label"])
-
-    return spans.groupBy("v").applyInPandas(fold, "v long, ord long, start double, end double, label string")
+                spans.append([r["start"], r["end"], r["label"]])
+        n = len(spans)
+        before, after, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
+        size = lambda i: spans[i][1] - spans[i][0] if i >= 0 else -1.0
+        heap = [(size(i), i) for i in range(n)]
+        heapq.heapify(heap)
+
+        def drop(i: int) -> None:
+            alive[i] = False
+            if before[i] >= 0:
+                after[before[i]] = after[i]
+            if after[i] >= 0:
+                before[after[i]] = before[i]
+
+        while n > 1:
+            seconds, k = heap[0]
+            if not alive[k] or seconds != size(k):
+                heapq.heappop(heap)
+                continue
+            if not (least and seconds < least) and not (most and n > most):
+                break
+            left, right = before[k], after[k]
+            keep = left if size(left) >= size(right) else right
+            spans[keep][1 if keep == left else 0] = spans[k][1 if keep == left else 0]
+            drop(k)
+            n -= 1
+            if left >= 0 and right >= 0 and spans[left][2] == spans[right][2]:
+                spans[left][1] = spans[right][1]
+                drop(right)
+                n -= 1
+                keep = left
+            heapq.heappush(heap, (size(keep), keep))
+        return [(v, i, *spans[k]) for i, k in enumerate(k for k in range(len(spans)) if alive[k])]
+
+    return per_timeline(spans.select("v", "ord", "start", "end", "label"), fold, "v long, ord long, start double, end double, label string", "ord")
 
 
 def match_greedy(pred: DataFrame, gold: DataFrame, tols: tuple[float, ...] = (2.0, 5.0)) -> DataFrame:
     """v, tol, tp, fp, fn: one-to-one matches of boundaries (v, t), nearest pairs first, ties by place."""
     both = pred.select("v", F.lit(0).alias("side"), "t").unionByName(gold.select("v", F.lit(1).alias("side"), "t"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, g = (sorted(pdf.loc[pdf["side"] == s, "t"]) for s in (0, 1))
+    def fold(v, rows: list[dict]) -> list[tuple]:
+        p, g = ([r["t"] for r in rows if r["side"] == s] for s in (0, 1))
         out = []
         for tol in tols:
             first, pairs = 0, []
@@ -129,10 +177,10 @@ def match_greedy(pred: DataFrame, gold: DataFrame, tols: tuple[float, ...] = (2.
                 if i not in taken_p and j not in taken_g:
                     taken_p.add(i)
                     taken_g.add(j)
-            out.append((pdf["v"].iloc[0], tol, len(taken_p), len(p) - len(taken_p), len(g) - len(taken_p)))
-        return pd.DataFrame(out, columns=["v", "tol", "tp", "fp", "fn"])
+            out.append((v, tol, len(taken_p), len(p) - len(taken_p), len(g) - len(taken_p)))
+        return out
 
-    return both.groupBy("v").applyInPandas(fold, "v long, tol double, tp long, fp long, fn long")
+    return per_timeline(both, fold, "v long, tol double, tp long, fp long, fn long", "side", "t")
 
 
 def batch_shots(shots: DataFrame, shots_each: int = 5, frames_each: int = 18) -> DataFrame:
@@ -153,8 +201,7 @@ def batch_shots(shots: DataFrame, shots_each: int = 5, frames_each: int = 18) ->
 def turn_windows(turns: DataFrame, chars: int = 32000, overlap: float = 0.2, edge: int = 2) -> DataFrame:
     """v, window, i0, i1, lo, hi: overlapping ranges of turns by a budget of characters, and the interior each is trusted for."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _rows(pdf, "ord")
+    def fold(v, rows: list[dict]) -> list[tuple]:
         size = [len(r["text"] or "") + 20 for r in rows]
         n, found, i = len(rows), [], 0
         if n <= 1 or sum(size) <= chars:
@@ -174,18 +221,18 @@ def turn_windows(turns: DataFrame, chars: int = 32000, overlap: float = 0.2, edg
         for w, (a, b) in enumerate(found):
             lo = rows[a]["start"] if w == 0 else rows[min(a + edge, b - 1)]["start"]
             hi = rows[b - 1]["end"] if w == len(found) - 1 else rows[max(b - 1 - edge, a)]["start"]
-            out.append((pdf["v"].iloc[0], w, a, b, lo, hi))
-        return pd.DataFrame(out, columns=["v", "window", "i0", "i1", "lo", "hi"])
+            out.append((v, w, a, b, lo, hi))
+        return out
 
-    return turns.groupBy("v").applyInPandas(fold, "v long, window int, i0 long, i1 long, lo double, hi double")
+    return per_timeline(turns.select("v", "ord", "start", "end", "text"), fold, "v long, window int, i0 long, i1 long, lo double, hi double", "ord")
 
 
 def merge_taxonomies(types: DataFrame, most: int = 8) -> DataFrame:
     """v, ord, type, definition: proposals (v, ord, type, definition) whose names hold each other count as one; the most frequent stay."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(v, rows: list[dict]) -> list[tuple]:
         found: dict[str, list] = {}
-        for r in _rows(pdf, "ord"):
+        for r in rows:
             name = (r["type"] or "").strip()
             if not name:
                 continue
@@ -196,9 +243,9 @@ def merge_taxonomies(types: DataFrame, most: int = 8) -> DataFrame:
             else:
                 found[low] = [1, name, (r["definition"] or "").strip()]
         top = sorted(found.values(), key=lambda x: -x[0])[:most]
-        return pd.DataFrame([(pdf["v"].iloc[0], i, n, d) for i, (_, n, d) in enumerate(top)], columns=["v", "ord", "type", "definition"])
+        return [(v, i, n, d) for i, (_, n, d) in enumerate(top)]
 
-    return types.groupBy("v").applyInPandas(fold, "v long, ord long, type string, definition string")
+    return per_timeline(types, fold, "v long, ord long, type string, definition string", "ord")
 
 
 def refine_boundaries(boundaries: DataFrame, is_left, precision: float = 2.0, interval: float = 30.0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.intervals import merge_intervals
 from spanloom.operators.joins import overlap_join, overlap_total, within
+from spanloom.staging import staged
 
 THRESHOLDS = {"dead_f1": 0.80, "boundary_f1": 0.70, "type_accuracy": 0.70}
 
@@ -84,7 +85,8 @@ def segmentation_errors(pred: DataFrame, gold: DataFrame, durations: DataFrame,
     The boundaries between units u and u + k change only where u passes one or comes within k of one, so errors are
     counted by the lengths between those points: rows grow with boundaries, not with seconds.
     """
-    pu, gu = units(internal(pred, durations, step), durations, step), units(internal(gold, durations, step), durations, step)
+    durations = staged(durations, "durations")
+    pu, gu = (staged(units(internal(x, durations, step), durations, step), "units") for x in (pred, gold))
     base = durations.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("duration") / step)).cast("long")).join(gu.groupBy("v").agg(F.count("*").alias("refs")), "v", "left").na.fill(0, ["refs"])
     base = base.withColumn("k", F.greatest(F.lit(1), F.bround(F.col("n") / (F.col("refs") + 1) / 2)).cast("long")).select("v", "n", "k")
     pairs = (F.col("n") - F.col("k")).alias("pairs")

@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.scalars import near, title_card
@@ -142,9 +142,25 @@ def shot_samples(shots: DataFrame, frames: int = 3) -> DataFrame:
     return s.select("v", "ord", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.col("start") + (k + 0.5) / F.col("n") * dur).alias("times"))
 
 
-def topic_words(text: Column) -> Column:
-    """The words of a text that carry its topic, in order."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z']+)")), lambda x: (F.length(x) > 2) & ~x.isin(STOP_WORDS.split()))
+def _cohesion(words: list[str], block: int, width: int):
+    """gap, cosine of the word counts on either side, for a timeline's topic words in order."""
+    counts = [Counter(words[a : a + block]) for a in range(0, len(words), block)]
+    n = len(counts)
+    if n < 2 * width:
+        return
+    left, right = Counter(counts[0]), Counter(words[block : block * (1 + width)])
+    for gap in range(1, n):
+        small, large = (left, right) if len(left) < len(right) else (right, left)
+        ab = float(sum([c * large[w] for w, c in small.items() if w in large]))
+        aa, bb = (float(sum([c * c for c in x.values()])) for x in (left, right))
+        yield gap, ab / (math.sqrt(aa) * math.sqrt(bb)) if aa and bb else 0.0
+        for side, block_, sign in ((left, gap, 1), (right, gap, -1), (right, gap + width, 1), (left, gap - width, -1)):
+            for w, c in counts[block_].items() if 0 <= block_ < n else ():
+                c = side.get(w, 0) + sign * c
+                if c:
+                    side[w] = c
+                else:
+                    del side[w]
 
 
 def lexical_similarity(turns: DataFrame, block: int = 20, width: int = 6) -> DataFrame:
@@ -153,35 +169,30 @@ def lexical_similarity(turns: DataFrame, block: int = 20, width: int = 6) -> Dat
     A block is ``block`` topic words of a timeline in order; timelines of fewer than 2 * ``width`` blocks have none.  One
     exchange on the timeline; the two windows slide over its blocks, so a word is counted in and out of each once.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        words, times = [], []
-        for start, dur, own in zip(pdf["start"], pdf["dur"], pdf["w"]):
-            n = len(own)
-            times += [start + dur * i / n for i in range(n)]
-            words += own.tolist() if hasattr(own, "tolist") else list(own)
-        counts = [Counter(words[a : a + block]) for a in range(0, len(words), block)]
-        out, n = [], len(counts)
-        if n < 2 * width:
-            counts, n = [], 0
-        left, right = (Counter(counts[0]), sum(counts[1 : 1 + width], Counter())) if counts else (Counter(), Counter())
-        for gap in range(1, n):
-            small, large = sorted((left, right), key=len)
-            ab, aa, bb = (float(sum(v * o.get(k, 0) for k, v in x.items())) for x, o in ((small, large), (left, left), (right, right)))
-            out.append((pdf["v"].iloc[0], gap, times[gap * block], ab / (math.sqrt(aa) * math.sqrt(bb)) if aa and bb else 0.0))
-            left.update(counts[gap])
-            right.subtract(counts[gap])
-            if gap + width < n:
-                right.update(counts[gap + width])
-            if gap >= width:
-                left.subtract(counts[gap - width])
-            if gap % 64 == 0:  # forget words that are no longer in reach
-                left, right = +left, +right
-        return pd.DataFrame(out, columns=["v", "gap", "t", "sim"])
-
-    own = turns.select("v", "ord", "start", F.greatest(F.col("end") - F.col("start"), F.lit(0.01)).alias("dur"), topic_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    return own.groupBy("v").applyInPandas(fold, "v long, gap int, t double, sim double")
+    stop = frozenset(STOP_WORDS.split())
+
+    def run(batches):
+        current, words, times = None, [], []
+
+        def result():
+            found = list(_cohesion(words, block, width))
+            if found:
+                gaps, sims = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array([current] * len(gaps), pa.int64()), pa.array(gaps, pa.int32()), pa.array([times[g * block] for g in gaps], pa.float64()), pa.array(sims, pa.float64())], ["v", "gap", "t", "sim"])
+
+        for b in batches:
+            for v, start, dur, said in zip(*(c.to_pylist() for c in b.columns)):
+                if v != current:
+                    yield from result()
+                    current, words, times = v, [], []
+                own = [w for w in said.split(" ") if len(w) > 2 and w not in stop]
+                n = len(own)
+                times += [start + dur * i / n for i in range(n)]
+                words += own
+        yield from result()
+
+    own = turns.filter("v is not null and text is not null").select("v", "ord", "start", F.greatest(F.col("end") - F.col("start"), F.lit(0.01)).alias("dur"), F.regexp_replace(F.lower("text"), "[^a-z']+", " ").alias("w"))
+    return own.repartition("v").sortWithinPartitions("v", "ord").drop("ord").mapInArrow(run, "v long, gap int, t double, sim double")
 
 
 def lexical_boundaries(turns: DataFrame, block: int = 20, width: int = 6, c: float = 0.3) -> DataFrame:
