@@ -137,7 +137,14 @@ def full_analysis(s, d):
     return fusion.dead_and_content(views.regions(s, d), _durations(s, d)).withColumns({"dead": F.to_json("dead"), "content": F.to_json("content")})
 
 
-@query()
+@query(f"""with {REGIONS}, dur as (select v, max("end") as duration from regions group by v), sl as (select v, sum("end" - "start") as silent from regions where kind = 'silence' group by v),
+noisy as (select r.* from regions r join dur using (v) left join sl using (v) where kind <> 'silence' or coalesce(silent, 0) < 0.98 * duration), plain as (select * from noisy where kind <> 'freeze'),
+{islands_sql("noisy", 2.0, "bo", ", max(case when kind in ('black', 'white', 'bars', 'snow') then " + '"end" end) as vis')}, {islands_sql("plain", 2.0, "pl", ", min(case when kind in ('black', 'white', 'snow') then " + '"start" end) as vis')},
+h as (select v, arg_min(struct_pack(e := "end", vis := vis), island) as h from bo where "start" <= 5 group by v), tl as (select v, arg_max(struct_pack(vis := vis), island) as t from pl join dur using (v) where "end" >= duration - 5 group by v),
+c as (select v, duration, coalesce(h.h.e >= duration - 5, false) as whole, coalesce(h.h.vis, 0) as lo, coalesce(tl.t.vis, duration) as hi from dur left join h using (v) left join tl using (v)),
+w as (select v, duration, whole, case when whole then 0.0::double else lo end as content_start, case when whole then duration else hi end as content_end from c)
+select v, duration, content_start, content_end, case when whole or content_end - content_start <= 0 or (content_end - content_start) / nullif(duration, 0) < 0.5 then 'NEEDS_REVIEW' else 'OK' end as status,
+content_end - content_start as kept, coalesce(100 * (content_end - content_start) / nullif(duration, 0), 0) as kept_pct, content_start as head_trim, duration - content_end as tail_trim from w""")
 def head_tail_window(s, d):
     return intervals.proposal_columns(intervals.head_tail_window(views.regions(s, d), _durations(s, d), 2.0))
 
@@ -171,14 +178,16 @@ def _shots(s, d, t=None):
 
 
 @query(f"""with {TURNS}, {SHOTS}, j as (select s.v, s.ord, s."start", s."end", t.speaker, t.text, t.ord as r_ord, t."start" as rs, least(s."end", t."end") - greatest(s."start", t."start") as ov from shots s left join turns t on t.v = s.v and least(s."end", t."end") - greatest(s."start", t."start") > 0)
-select v, ord, round(any_value("start"), 2) as "start", round(any_value("end"), 2) as "end", coalesce(least(round((sum(round(ov * 1e6::double)::bigint) / 2e7::double)::decimal(18, 9), 2)::double, 1.0::double), 0) as speech_frac, trim(coalesce(string_agg(text, ' ' order by rs, speaker, text), '')) as text from j group by v, ord""")
+select v, ord, round(any_value("start"), 2) as "start", round(any_value("end"), 2) as "end", coalesce(least(round((sum(round(ov * 1e6::double)::bigint) / 2e7::double)::decimal(18, 9), 2)::double, 1.0::double), 0) as speech_frac, trim(coalesce(string_agg(text, ' ' order by rs, speaker, text), '')) as text,
+coalesce(array_to_string(list_transform(list_sort(list_transform(list_distinct(list(speaker)), lambda x: struct_pack(a := list_min(list_transform(list_filter(list(struct_pack(o := r_ord, s := speaker)), lambda y: y.s = x), lambda y: y.o)), b := x))), lambda z: z.b), ','), '') as speakers from j group by v, ord""")
 def overlap_attach(s, d):
-    return joins.attach(_shots(s, d), views.turns(s, d)).drop("speakers")
+    return joins.attach(_shots(s, d), views.turns(s, d)).withColumn("speakers", F.array_join("speakers", ","))
 
 
-@query(f"""with {TURNS}, {SHOTS} select s.v, s.ord, trim(coalesce(string_agg(t.text, ' ' order by t.ord), '')) as transcript from shots s left join turns t on t.v = s.v and least(s."end", t."end") - greatest(s."start", t."start") > 0 group by s.v, s.ord""")
+@query(f"""with {TURNS}, {SHOTS} select s.v, s.ord, trim(coalesce(string_agg(t.text, ' ' order by t.ord), '')) as transcript,
+coalesce(array_to_string(list_transform(list_sort(list_transform(list_distinct(list(t.speaker)), lambda x: struct_pack(a := list_min(list_transform(list_filter(list(struct_pack(o := t.ord, s := t.speaker)), lambda y: y.s = x), lambda y: y.o)), b := x))), lambda z: z.b), ','), '') as speakers from shots s left join turns t on t.v = s.v and least(s."end", t."end") - greatest(s."start", t."start") > 0 group by s.v, s.ord""")
 def segment_text(s, d):
-    return joins.segment_text(_shots(s, d), views.turns(s, d)).select("v", "ord", "transcript")
+    return joins.segment_text(_shots(s, d), views.turns(s, d)).select("v", "ord", "transcript", F.array_join("speakers", ",").alias("speakers"))
 
 
 @query(f"""with {REGIONS} select a.v, a.ord, a."start", a."end" from regions a where kind = 'black' and exists (select 1 from regions b where b.v = a.v and b.kind = 'silence' and least(a."end", b."end") - greatest(a."start", b."start") >= 2)""")
@@ -245,7 +254,20 @@ def same_speaker_merge(s, d):
     return sequences.merge_same_speaker(views.turns(s, d))
 
 
-@query()
+ATTACHED = """aj as (select s.v, s.ord, s."start", s."end", t.speaker, t.ord as r_ord, least(s."end", t."end") - greatest(s."start", t."start") as ov from shots s left join turns t on t.v = s.v and least(s."end", t."end") - greatest(s."start", t."start") > 0),
+af as (select v, ord, round(any_value("start"), 2) as "start", round(any_value("end"), 2) as "end", coalesce(least(round((sum(round(ov * 1e6::double)::bigint) / 2e7::double)::decimal(18, 9), 2)::double, 1.0::double), 0) as frac from aj group by v, ord),
+asp as (select v, ord, speaker, min(r_ord) as first from aj where speaker is not null group by v, ord, speaker)"""
+PAUSES = """pz as (select v, round((("end" + nx) / 2.0::double)::decimal(18, 6), 2)::double as t from (select *, lead("start") over (partition by v order by "start", ord) as nx from turns) where nx - "end" >= 1.5)"""
+
+
+@query(f"""with {TURNS}, {HOST}, {SHOTS}, {ATTACHED},
+sg as (select v, ord, string_agg(speaker, '|' order by first, speaker) as g from asp join hosts using (v) where speaker <> host group by v, ord),
+s1 as (select af.*, case when frac < 0.2 then null when g is not null then 'guest|' || g else 'host' end as sig from af left join sg using (v, ord)),
+s2 as (select * exclude (sig), coalesce(last_value(sig ignore nulls) over (partition by v order by ord rows unbounded preceding), first_value(sig ignore nulls) over (partition by v order by ord rows between current row and unbounded following), 'nospeech') as sig from s1),
+s3 as (select *, case when lag(sig) over (partition by v order by ord) = sig then 0 else 1 end as n from s2), s4 as (select *, sum(n) over (partition by v order by ord rows unbounded preceding) as run from s3),
+who as (select v, run, speaker, min(ord * 1000000 + first) as first from s4 join asp using (v, ord) group by v, run, speaker), said as (select v, run, string_agg(speaker, ',' order by first, speaker) as speakers from who group by v, run),
+g as (select v, run, any_value(sig) as sig, arg_min("start", ord) as "start", arg_max("end", ord) as "end" from s4 group by v, run)
+select v, (run - 1)::bigint as ord, "start", "end", case when sig like 'guest|%' then 'guest' else sig end as role, coalesce(speakers, '') as speakers from g left join said using (v, run)""")
 def speaker_signature(s, d):
     t = views.turns(s, d)
     return sequences.merge_by_speaker(joins.attach(_shots(s, d), t), aggs.detect_host(t)).withColumn("speakers", F.array_join("speakers", ","))
@@ -286,7 +308,13 @@ def program_groups(s, d):
     return sequences.program_groups(m, r.filter("kind = 'snow'").select("v", "start", "end"))
 
 
-@query()
+@query(f"""with {TURNS}, {SHOTS}, {PAUSES}, pts as (select distinct v, "start" as t from turns),
+ch as (select p.v, p.t, coalesce(arg_max(speaker, struct_pack(a := "start", b := ord)) filter ("end" <= p.t + 2) <> arg_min(speaker, struct_pack(a := "start", b := ord)) filter ("start" >= p.t - 2), false) as changed from pts p join turns on turns.v = p.v group by p.v, p.t),
+gp as (select v, "end" as a, nx as b from (select *, lead("start") over (partition by v order by "start", ord) as nx from turns) where nx - "end" >= 0.8),
+c as (select u.v, u.ord, u."start", row_number() over (partition by u.v order by u.ord) as n, exists (select 1 from shots s where s.v = u.v and abs(s."start" - u."start") <= 2) as shot, changed as speaker,
+ exists (select 1 from gp where gp.v = u.v and u."start" >= gp.a - 2 and u."start" <= gp.b + 2) as pause, exists (select 1 from pz where pz.v = u.v and abs(pz.t - u."start") <= 2) as lex from turns u join ch on ch.v = u.v and ch.t = u."start"),
+k as (select *, case when n = 1 then [] else list_filter([case when shot then 'shot' end, case when speaker then 'speaker' end, case when pause then 'pause' end, case when lex then 'lexical' end, case when lex then 'llm' end], lambda x: x is not null) end as cues from c)
+select v, ord, "start", array_to_string(cues, ',') as cues, case when n = 1 or len(cues) >= 3 then 'high' when len(cues) = 2 then 'medium' else 'low' end as confidence from k""")
 def boundary_confidence(s, d):
     t = views.turns(s, d)
     seg = t.select("v", "ord", "start")
@@ -301,12 +329,26 @@ def sample_windows(s, d):
     return sequences.sample_windows(sp, 30.0, 3).select("v", "t", "until", F.round(F.col("times")[1], 6).alias("middle"))
 
 
-@query()
+_STOP = ", ".join("'" + w + "'" for w in sequences.STOP_WORDS.split())
+LEXICAL = f"""lw as (select doc_id as v, greatest(n_chars / 15.0::double, 0.01::double) as dur, list_filter(regexp_extract_all(lower(text), '[a-z'']+'), lambda x: length(x) > 2 and x not in ({_STOP})) as w from documents where text is not null),
+lt as (select v, dur, len(w) as n, unnest(w) as word, generate_subscripts(w, 1) - 1 as pos from lw), lb as (select v, word, pos, pos // 20 as block, 0.0::double + dur * pos / n as t from lt),
+lc as (select v, block, word, count(*) as n from lb group by v, block, word), ls as (select v, max(block) + 1 as blocks from lb group by v having max(block) + 1 >= 12),
+lg as (select v, blocks, unnest(range(1, blocks)) as gap from ls),
+lx as (select g.v, g.gap, word, sum(case when block < gap then lc.n else 0 end) as a, sum(case when block >= gap then lc.n else 0 end) as b from lg g join lc on lc.v = g.v and lc.block >= g.gap - 6 and lc.block < g.gap + 6 group by g.v, g.gap, word),
+lm as (select v, gap, sum(a * b)::double as ab, sum(a * a)::double as aa, sum(b * b)::double as bb from lx group by v, gap),
+sim as (select v, gap, coalesce(ab / nullif(sqrt(aa) * sqrt(bb), 0), 0) as sim, t from lm join (select v, block as gap, arg_min(t, pos) as t from lb group by v, block) using (v, gap))"""
+
+
+@query(f"""with {LEXICAL} select v, gap::integer as gap, round(sim, 6) as sim from sim""")
 def lexical_similarity(s, d):
     return sequences.lexical_similarity(views.lexical(s, d)).select("v", "gap", F.round("sim", 6).alias("sim"))
 
 
-@query()
+@query(f"""with {LEXICAL}, d1 as (select *, case when lag(sim) over w < sim then 1 when lag(sim) over w is null then 1 else 0 end as nl, case when lead(sim) over w < sim then 1 when lead(sim) over w is null then 1 else 0 end as nr from sim window w as (partition by v order by gap)),
+d2 as (select *, sum(nl) over (partition by v order by gap rows unbounded preceding) as l, sum(nr) over (partition by v order by gap rows between current row and unbounded following) as r from d1),
+d3 as (select *, first_value(sim) over (partition by v, l order by gap rows unbounded preceding) as lp, last_value(sim) over (partition by v, r order by gap rows between current row and unbounded following) as rp from d2),
+d4 as (select *, (lp - sim) + (rp - sim) as depth from d3), d5 as (select *, avg(depth) over (partition by v) as mean, stddev_pop(depth) over (partition by v) as dev, max(depth) over (partition by v order by gap rows between 1 preceding and 1 following) as top from d4)
+select v, round(t::decimal(24, 9), 2)::double as t from d5 where depth > mean + 0.3::double * dev and depth = top""")
 def lexical_boundaries(s, d):
     return sequences.lexical_boundaries(views.lexical(s, d))
 
@@ -329,7 +371,12 @@ def grid_segmentation(s, d):
     return fusion.grid_segmentation(m, m.groupBy("v").agg((F.max("t") + 30).alias("end_time")), ["click", "view"], 20, 5.0)
 
 
-@query()
+@query(f"""with {TURNS}, {SHOTS}, {PAUSES}, seg as (select v, min("start") as "start", max("end") as "end" from turns group by v),
+cut as (select seg.v, seg."start", seg."end", pz.t from seg join pz on pz.v = seg.v and pz.t >= seg."start" + 8 and pz.t <= seg."end" - 8),
+c as (select distinct v, c from (select cut.v, cut.t, round(coalesce(arg_min(s."start", struct_pack(a := abs(s."start" - cut.t), b := s."start")), cut.t)::decimal(24, 9), 2)::double as c from cut left join shots s on s.v = cut.v and s."start" > cut."start" and s."start" < cut."end" and abs(s."start" - cut.t) <= 3 group by cut.v, cut.t)),
+p as (select v, "start" as a, -1 as k from seg union all select v, c, 0 from c), q as (select p.v, p.a, k, coalesce(lead(p.a) over (partition by p.v order by k, p.a), seg."end") as b from p join seg using (v)),
+n as (select *, case when row_number() over (partition by v order by k, a) = 1 or b - a >= 8 then 1 else 0 end as nw from q), m as (select *, sum(nw) over (partition by v order by k, a rows unbounded preceding) as piece from n)
+select v, (piece - 1)::bigint as ord, arg_min(a, struct_pack(k := k, a := a)) as "start", arg_max(b, struct_pack(k := k, a := a)) as "end" from m group by v, piece""")
 def split_on_topics(s, d):
     t = views.turns(s, d)
     seg = t.groupBy("v").agg(F.lit(0).cast("long").alias("ord"), F.min("start").alias("start"), F.max("end").alias("end"))
@@ -362,11 +409,11 @@ def dead_metrics(s, d):
 
 @query(f"""with {TWO}, pp as (select distinct v, round(unnest([p."start", p."end"]), 2) as t from p), gg as (select distinct v, round(unnest([g."start", g."end"]), 2) as t from g),
 a as (select v, count(*) as np, count(*) filter (exists (select 1 from gg where gg.v = pp.v and abs(pp.t - gg.t) <= 2)) as hp from pp group by v), b as (select v, count(*) as ng, count(*) filter (exists (select 1 from pp where gg.v = pp.v and abs(pp.t - gg.t) <= 2)) as hg from gg group by v)
-select v, round(hp::double / np, 6) as "precision", round(hg::double / ng, 6) as recall from a join b using (v)""")
+select v, round(hp::double / np, 6) as "precision", round(hg::double / ng, 6) as recall, round(coalesce(2 * (hp::double / np) * (hg::double / ng) / nullif(hp::double / np + hg::double / ng, 0), 0), 6) as f1 from a join b using (v)""")
 def boundary_f1(s, d):
     p, g, t = _pred_gold(s, d)
     out = scoring.boundary_metrics(scoring.span_points(p), scoring.span_points(g), t)
-    return out.select("v", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    return out.select("v", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 @query(f"""with {REGIONS}, p as (select v, ord, "start", "end" - 1 as "end", kind as type from regions where ord % 2 = 0), g as (select v, ord, "start", "end", kind as type from regions where ord % 2 = 1),
@@ -410,12 +457,24 @@ def corpus_rollup(s, d):
     return aggs.rollup(folds.match_greedy(a, b).join(scoring.segmentation_errors(a, b, _durations(s, d)), "v"))
 
 
-@query()
+@query(f"""with {TWO}, s as (select v, sum(round(("end" - "start") * 1e6::double)::bigint) / 1e6::double as p from p group by v), u as (select v, sum(round(("end" - "start") * 1e6::double)::bigint) / 1e6::double as g from g group by v),
+o as (select p.v, sum(round((least(p."end", g."end") - greatest(p."start", g."start")) * 1e6::double)::bigint) / 1e6::double as x from p join g on p.v = g.v and least(p."end", g."end") - greatest(p."start", g."start") > 0 group by p.v),
+f as (select v, 2 * (x / p) * (x / g) / (x / p + x / g) as dead_f1 from s join u using (v) join o using (v)),
+pp as (select distinct v, round(unnest([p."start", p."end"]), 2) as t from p), gg as (select distinct v, round(unnest([g."start", g."end"]), 2) as t from g),
+a as (select v, count(*) filter (exists (select 1 from gg where gg.v = pp.v and abs(pp.t - gg.t) <= 2))::double / count(*) as pr from pp group by v), b as (select v, count(*) filter (exists (select 1 from pp where gg.v = pp.v and abs(pp.t - gg.t) <= 2))::double / count(*) as rc from gg group by v),
+tp as (select v, ord, "start", "end" - 1 as "end", kind as type from regions where ord % 2 = 0), tg as (select v, ord, "start", "end", kind as type from regions where ord % 2 = 1),
+tj as (select tg.v, tg.ord, tg.type, arg_min(tp.type, struct_pack(a := -(least(tp."end", tg."end") - greatest(tp."start", tg."start")), b := tp.ord)) as pt from tg join tp on tp.v = tg.v and least(tp."end", tg."end") - greatest(tp."start", tg."start") > 0 group by tg.v, tg.ord, tg.type),
+ta as (select v, count(*) filter (type = pt)::double / count(*) as acc from tj group by v), tn as (select v, count(*) as total from tg group by v), vs as (select distinct v from regions),
+m as (select f.v, dead_f1, case when pr + rc > 0 then 2 * pr * rc / (pr + rc) else 0 end as boundary_f1, case when coalesce(total, 0) = 0 then 0.0 else coalesce(acc, 0) end as type_accuracy, coalesce(total, 0) >= 3 as applies from f join a using (v) join b using (v) left join ta using (v) left join tn using (v))
+select v, dead_f1 >= 0.8 and boundary_f1 >= 0.7 and (not applies or type_accuracy >= 0.7) as passed from m""")
 def score_gate(s, d):
+    """Type accuracy applies to timelines of three gold spans or more."""
     p, g, t = _pred_gold(s, d)
     dead = scoring.dead_metrics(p.withColumn("ord", F.lit(0)), g.withColumn("ord", F.lit(0)), t).select("v", F.col("f1").alias("dead_f1"))
     bounds = scoring.boundary_metrics(scoring.span_points(p), scoring.span_points(g), t).select("v", F.col("f1").alias("boundary_f1"))
-    both = dead.join(bounds, "v").withColumns({"type_accuracy": F.lit(None).cast("double"), "applies_dead_f1": F.lit(True), "applies_boundary_f1": F.lit(True), "applies_type_accuracy": F.lit(False)})
+    r = views.regions(s, d).withColumnRenamed("kind", "type")
+    types = scoring.type_accuracy(r.filter("ord % 2 = 0").withColumn("end", F.col("end") - 1), r.filter("ord % 2 = 1"), t).select("v", F.col("accuracy").alias("type_accuracy"), (F.col("total") >= 3).alias("applies_type_accuracy"))
+    both = dead.join(bounds, "v").join(types, "v").withColumns({"applies_dead_f1": F.lit(True), "applies_boundary_f1": F.lit(True)})
     return scoring.gate(both).select("v", "passed")
 
 
@@ -496,7 +555,10 @@ def turn_windows(s, d):
     return folds.turn_windows(views.turns(s, d), 600, 0.2)
 
 
-@query()
+@query(f"""with recursive {TURNS}, f as (select v, ord, length(text) % 4 + 1 as frames, row_number() over (partition by v order by ord) as k from turns),
+walk as (select v, ord, frames, k, 0 as batch, 1 as n, frames as used from f where k = 1 union all
+ select f.v, f.ord, f.frames, f.k, case when w.n >= 5 or w.used + f.frames > 18 then w.batch + 1 else w.batch end, case when w.n >= 5 or w.used + f.frames > 18 then 1 else w.n + 1 end, case when w.n >= 5 or w.used + f.frames > 18 then f.frames else w.used + f.frames end from walk w join f on f.v = w.v and f.k = w.k + 1)
+select v, ord, frames::bigint as frames, batch from walk""")
 def shot_batches(s, d):
     t = views.turns(s, d)
     return folds.batch_shots(t.select("v", "ord", (F.length("text") % 4 + 1).alias("frames")))
