@@ -435,7 +435,7 @@ def fit(encoded: DataFrame, model: Lbl, tokens: int) -> None:
                     learn()
                 yield from result()
 
-        own = dealt.filter(F.col("slice") == turn).repartition(groups, "grp").sortWithinPartitions("grp", "key", "id", "ids").select("grp", "ids")
+        own = dealt.filter(F.col("slice") == turn).repartitionById(groups, F.col("grp")).sortWithinPartitions("grp", "key", "id", "ids").select("grp", "ids")
         sums = own.mapInArrow(lean(run), "block int, grp int, tokens long, part binary")
         means = sums.groupBy("block").applyInArrow(_averaged, "block int, mean binary").collect()
         if means:
