@@ -214,7 +214,8 @@ def jaccard_components(df: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
     Sets link at a Jaccard similarity of 0.75 or more; component_id is the least id that links reach.  Null,
     empty and wordless texts have no shingles, link with nothing and are their own component.  A null
     id takes part but is never a component's id, unless no other is there.  Equal sets are one node, so copies cost no pairs; repeated rows give
-    repeated results.  An empty table gives an empty result.
+    repeated results; extra columns aren't read.  An empty table gives an empty result.  ``df`` must give the same rows in the
+    same order when it is read again, as a stored table does: slices of a partition are named by their place in it.
     """
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(64, -(-size // BYTES_A_BLOCK))
@@ -226,7 +227,7 @@ def jaccard_components(df: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
     sets = materialize(found.filter("tokens is not null").drop("id").dropDuplicates(["node"]), "nodes", tidy=True)
     remove(df.sparkSession, found.spanloom_path)
     postings = materialize(sets.mapInArrow(lean(_postings), "token long, node long, n long, pos long, score double"), "postings")
-    labels = None
+    labels, tried = None, None
     for turn in range(ROUNDS + 1):
         own = _labelled(postings, labels)
         rank = F.col("score") if turn == 0 else F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(1 << 20)) + F.col("score") / 2
@@ -240,14 +241,26 @@ def jaccard_components(df: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
             other = mixed.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "label")))
             met = mixed.join(other, "token").filter((F.col("label") < F.col("label2")) & _may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
             pairs = met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+        # each pair is verified once: one that failed in a round isn't tried in a later one
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
         edges = materialize(_verified(pairs, sets), "links", tidy=True)
         if edges.isEmpty():
             continue
         labels = _merge(labels, edges)
-    named = members.withColumn("top", F.when(F.col("n") > 0, F.col("node")))
-    if labels is not None:
-        named = named.join(labels.withColumnRenamed("node", "top"), "top", "left").withColumn("top", F.coalesce("label", "top")).drop("label")
-    named = named.withColumn("id", F.when(F.col("id") != -(1 << 63), F.col("id")))
-    least = named.filter("top is not null").groupBy("top").agg(F.min("id").alias("least"))
-    done = named.join(least, "top", "left")
-    return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    # the least id of a component from the least ids of its sets; copies of a set are many rows, but one row here
+    own_id = F.when(F.col("id") != -(1 << 63), F.col("id"))
+    per_set = materialize(members.filter("n > 0").groupBy("node").agg(F.min(own_id).alias("low"), F.count("*").alias("copies")), "per_set")
+    if labels is None:
+        named = per_set.select("node", F.col("low").alias("least"), "copies")
+    else:
+        tops = materialize(per_set.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "tops")
+        least = tops.groupBy("label").agg(F.min("low").alias("least"))
+        named = materialize(tops.join(least, "label").select("node", "least", "copies"), "named")
+    # sets of many copies, of which there can be few, meet their rows map-side
+    many = named.filter(F.col("copies") * 1000 >= max(members.count(), 100_000)).select("node", "least")
+    out = members.withColumn("node", F.when(F.col("n") > 0, F.col("node")))
+    hot = out.join(F.broadcast(many), "node")
+    rest = out.join(F.broadcast(many.select("node")), "node", "left_anti").join(named.select("node", "least"), "node", "left")
+    return hot.unionByName(rest).select(own_id.alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", own_id).alias("component_id"))
