@@ -3,12 +3,14 @@
 Texts become pieces of at most ``capacity`` tokens.  The plan is best-fit decreasing over *counts*: all
 bins of equal room are one group, so planning takes time and memory by distinct lengths (at most
 ``capacity``), not by documents.  Pieces then take the planned slots by their rank within their length;
-ranks come from counts by (length, bucket), so that no length, however frequent, is sorted in one task.
+ranks come from counts by (length, bucket), so that no length, however frequent, is sorted in one task: n pieces of a
+length have the square root of n buckets at most.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from functools import lru_cache
 
@@ -149,7 +151,7 @@ def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id", bucket_ro
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     slots, _ = plan(histogram, capacity)
     slots.sort()
-    many = cut.sparkSession.createDataFrame([(k, -(-n // bucket_rows)) for k, n in histogram.items()], "length long, buckets int")
+    many = cut.sparkSession.createDataFrame([(k, -(-n // max(bucket_rows, math.isqrt(n)))) for k, n in histogram.items()], "length long, buckets int")
     keyed = cut.join(F.broadcast(many), "length").withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece"), "buckets").cast("int")).drop("buckets")
     counts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
