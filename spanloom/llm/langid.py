@@ -23,6 +23,8 @@ DIM = 16
 NGRAMS = (1, 2, 3, 4)
 #: At most about so many labelled texts of a language are learnt from, drawn by a hash of the id.
 SAMPLE_PER_LANGUAGE = 1000
+#: Of a sampled text, at most so many characters reach the driver; predictions read whole texts.
+SAMPLE_CHARS = 1 << 16
 #: Share of good texts that rejection may cost, and the most that a rejected text may score.
 FALSE_REJECTS, REJECT_UNDER = 0.001, 0.5
 
@@ -154,7 +156,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 2.
 
 
 def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Train on about ``per_language`` whole texts of each language (a bounded sample, drawn by a hash of the id)."""
+    """Train on about ``per_language`` texts of each language, up to ``SAMPLE_CHARS`` of each (a bounded sample, drawn by a hash of the id)."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("l")).count().collect()}
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -162,13 +164,19 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
     for n in sorted({*counts.values()}):
         own = [k for k, v in counts.items() if v == n]
         wanted = wanted | (F.col(lang_col).isin(own) & (u < per_language / n))
-    drawn = rows.filter(wanted).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).collect()
+    drawn = rows.filter(wanted).select(F.col(id_col).alias("i"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t"), F.col(lang_col).alias("l")).collect()
     drawn.sort(key=lambda r: (str(r[0]), r[1]))
     return train([r[1] for r in drawn], [r[2] for r in drawn])
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, ``keep``, lang_pred, score and rejected of every whole text; null or letterless texts are ``und`` with score 0."""
+    """id_col, ``keep``, lang_pred, score and rejected of every whole text; null or letterless texts are ``und`` with score 0.
+
+    Ties between languages go to the first in order.  Repeated rows give repeated results, an empty table an empty one.  A kept
+    column may not be called like a result.
+    """
+    if {k.lower() for k in (id_col, *keep)} & {"lang_pred", "score", "rejected"}:
+        raise ValueError("a kept column has the name of a result")
     model = df.sparkSession.sparkContext.broadcast((model.languages, model.rows, model.bias, model.temperature, model.threshold))
 
     def run(batches):
