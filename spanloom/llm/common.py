@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import os
 import tempfile
 import uuid
 
@@ -21,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one is set only where the session names none."""
+    """The folder that the cluster shares; a temporary one is set only in local mode, where the session names none."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
         path = sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spanloom-")
         sc.setCheckpointDir(path)
     return path
@@ -93,7 +96,10 @@ def release() -> None:
 
 def single_threaded() -> None:
     """Have numpy's matrix products use one thread in this process: a worker is one of many, and small products only wait for more."""
-    with open("/proc/self/maps") as f:
+    maps = "/proc/self/maps"
+    if not os.path.exists(maps):
+        return
+    with open(maps) as f:
         paths = {line.split()[-1] for line in f if "openblas" in line}
     for path in paths:
         library = ctypes.CDLL(path)

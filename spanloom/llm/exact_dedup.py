@@ -3,8 +3,8 @@
 1. Every text becomes a SHA-256 digest; digests and ids are written once (about 100 bytes a row), so
    that texts are read and hashed a single time.
 2. A Misra-Gries summary (the frequent-items sketch behind ``approx_top_k``; mergeable, built map-side,
-   at most ``tracked`` counters) names the digests that can be frequent.  Its error is N / tracked, so no
-   digest with more copies than that is missed.
+   at most ``tracked`` counters) names the digests that can be frequent.  Its error is at most 3.5 N / tracked, so no
+   digest with more copies than that is missed; any that is takes the shuffle of step 4, with the same result.
 3. Exact counts verify them.  The winners, at most ``max_heavy`` rows, are broadcast and their groups
    are settled map-side, without a shuffle of their rows.
 4. All other digests go through an ordinary shuffle, in which no group is large.
