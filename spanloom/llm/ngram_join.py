@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join: rare-first prefixes with length, positional and suffix filters.
 
 1. One pass over the texts makes each distinct shingle set (numpy).  Slices of texts send their hashes to
-   blocks of the hash space, packed 8 bytes a shingle; copies within a slice are sent once.
+   blocks of the hash space, packed 7 bytes a shingle; copies within a slice are sent once.
 2. A block counts in how many sets each shingle occurs and returns those of two or more to their slice.
    A shingle of one set can't link, so the rest of a set, known by number, is first in the rare-first order.
 3. A set whose prefix holds only such shingles has no partner and drops out: only near-duplicates remain.
@@ -11,7 +11,8 @@
    components is lost, and a large group of near copies is not expanded into its pairs.
 
 Sets are named by a 64-bit hash of their shingles; one that two different sets share has odds of
-about (number of sets) squared / 2**65.
+about (number of sets) squared / 2**65.  Sizes are counted over 64-bit hashes of shingles, overlaps over
+their upper 56 bits; a pair of sets is misjudged at odds of about (size of their union) squared / 2**57.
 """
 
 from __future__ import annotations
@@ -38,6 +39,18 @@ def _needed(n):
     return -(-3 * n // 4)
 
 
+def _pack(tokens: np.ndarray) -> bytes:
+    """The upper seven bytes of each hash."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:]).tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    """Hashes as they were packed, with zero for the lowest byte."""
+    out = np.zeros((len(packed) // 7, 8), dtype=np.uint8)
+    out[:, 1:] = np.frombuffer(packed, np.uint8).reshape(-1, 7)
+    return out.view("<u8").ravel()
+
+
 def _send(k: int, blocks: int):
     """Texts to packed shingle hashes by block, and one row of each slice with its sets' names."""
 
@@ -65,7 +78,7 @@ def _send(k: int, blocks: int):
                 present, start = np.unique(block, return_index=True)
                 stop = np.append(start[1:], len(block))
                 counts = [np.bincount(doc[x:y], minlength=sets).astype(np.uint32).tobytes() for x, y in zip(start, stop)]
-                tokens = [h[x:y].tobytes() for x, y in zip(start, stop)]
+                tokens = [_pack(h[x:y]) for x, y in zip(start, stop)]
                 m = len(present)
                 head = np.stack([fp[of], n[of]]).astype(np.int64).tobytes()
                 members = np.stack([ids, fp, n]).astype(np.int64).tobytes()
@@ -90,7 +103,7 @@ def _count(table: pa.Table) -> pa.Table:
     kinds = [pa.int64(), *[pa.binary()] * 5]
     out: list[tuple] = [(r["slice"], None, None, None, r["fps"], r["ids"]) for r in heads]
     if parts:
-        tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in parts])
+        tokens = np.concatenate([_unpack(r["tokens"]) for r in parts])
         order = np.argsort(tokens)
         ordered = tokens[order]
         new = np.ones(len(ordered), dtype=bool)
@@ -102,12 +115,12 @@ def _count(table: pa.Table) -> pa.Table:
         at = 0
         for r in parts:
             counts = np.frombuffer(r["counts"], np.uint32)
-            own = slice(at, at + len(r["tokens"]) // 8)
+            own = slice(at, at + len(r["tokens"]) // 7)
             at = own.stop
             shared = df[own] > 1
             if shared.any():
                 doc = np.repeat(np.arange(len(counts)), counts)
-                out.append((r["slice"], np.bincount(doc[shared], minlength=len(counts)).astype(np.uint32).tobytes(), tokens[own][shared].tobytes(), df[own][shared].tobytes(), None, None))
+                out.append((r["slice"], np.bincount(doc[shared], minlength=len(counts)).astype(np.uint32).tobytes(), _pack(tokens[own][shared]), df[own][shared].tobytes(), None, None))
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names)
 
 
@@ -121,7 +134,7 @@ def _gather(table: pa.Table) -> pa.Table:
     out = [[*ids.tolist()], [*nodes.tolist()], [*sizes.tolist()], [None] * len(ids), [None] * len(ids), [None] * len(ids), [None] * len(ids)]
     if parts:
         doc = np.concatenate([np.repeat(np.arange(len(fps)), np.frombuffer(r["counts"], np.uint32)) for r in parts])
-        tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in parts])
+        tokens = np.concatenate([_unpack(r["tokens"]) for r in parts])
         dfs = np.concatenate([np.frombuffer(r["dfs"], np.uint32) for r in parts])
         m = np.bincount(doc, minlength=len(fps))
         alive = (m >= _needed(ns)) & (ns > 0)
