@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,8 @@ def materialize(df: DataFrame, tag: str, tidy: bool = False) -> DataFrame:
 
     This cuts the lineage: a lost executor costs only a reread.  Tables go when the session ends, or
     earlier through :func:`remove` (their path is the attribute ``spanloom_path``).  ``tidy`` has Spark's
-    cleaner delete the shuffle files that only the written plan used, which it does at a collection only.
+    cleaner delete the shuffle files that only the written plan used, which it does at a collection only,
+    and gives back what the driver no longer uses.
     """
     spark = df.sparkSession
     if not _MADE:
@@ -65,8 +67,7 @@ def materialize(df: DataFrame, tag: str, tidy: bool = False) -> DataFrame:
     df.write.parquet(path)
     _MADE[path] = spark
     if tidy:
-        gc.collect()
-        spark._jvm.System.gc()
+        release_driver(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.spanloom_path = path
     return out
@@ -94,6 +95,28 @@ def release() -> None:
         trim(0)
 
 
+def release_driver(spark: SparkSession) -> bool:
+    """Collect the driver's garbage and give its memory back to the system; whether the JVM has a command for its native part.
+
+    Planning and compiling leave much free memory in the C allocator of the JVM, which a collection doesn't return.
+    """
+    release()
+    spark._jvm.System.gc()
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        # by the interface: the server's own class is closed to py4j
+        kinds = new(jvm.Class, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = jvm.Class.forName(name)
+        given = new(jvm.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke = jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:  # another JVM, or one without the command
+        return False
+    return True
+
+
 def single_threaded() -> None:
     """Have numpy's matrix products use one thread in this process: a worker is one of many, and small products only wait for more."""
     maps = "/proc/self/maps"

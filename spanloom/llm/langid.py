@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, release
 from .shingles import mix64
 
 BUCKETS = 1 << 15
@@ -120,7 +120,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 2.
             n = int(rng.integers(2, 41))
             at = int(rng.integers(0, max(1, len(words) - n)))
             own.append(" ".join(words[at : at + n]))
-        found = [(*x, languages.index(label)) for x in map(bag, own) if x is not None]
+        found = [(x[0].astype(np.uint16), x[1], languages.index(label)) for x in map(bag, own) if x is not None]
         if found:
             bags.append(found)
     order = rng.permutation(len(bags))
@@ -166,7 +166,10 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
         wanted = wanted | (F.col(lang_col).isin(own) & (u < per_language / n))
     drawn = rows.filter(wanted).select(F.col(id_col).alias("i"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t"), F.col(lang_col).alias("l")).collect()
     drawn.sort(key=lambda r: (str(r[0]), r[1]))
-    return train([r[1] for r in drawn], [r[2] for r in drawn])
+    model = train([r[1] for r in drawn], [r[2] for r in drawn])
+    del drawn
+    release()
+    return model
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -6,13 +6,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import ann, bpe, html_text, langid, lm, ngram_join, packing, pii, sharding, shingles
+from spanloom.llm import ann, bpe, common, html_text, langid, lm, ngram_join, packing, pii, sharding, shingles
 from spanloom.llm.components import connected_components
 from spanloom.llm.exact_dedup import exact_dedup, keep_unique
 from spanloom.llm.queries import vocabulary
@@ -241,6 +242,24 @@ def test_language_id_learns_every_label(spark, monkeypatch):
     assert set(langid.fit_language_model(df).languages) == {"ab", "cd", "ef", "gh"}
 
 
+def test_language_id_gives_the_samples_memory_back(spark):
+    def held():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    rng = np.random.default_rng(3)
+    draw = lambda: " ".join("".join(map(chr, w)) for w in rng.integers(97, 123, (700, 5)))
+    df = spark.createDataFrame([(i, draw(), "ab"[i % 2]) for i in range(2000)], "doc_id long, text string, lang string")
+    langid.fit_language_model(df.limit(10))
+    common.release()
+    before = held()
+    model = langid.fit_language_model(df)
+    assert held() - before < 40 and model.languages == ["a", "b"]
+
+
+def test_driver_gives_the_jvms_memory_back(spark):
+    assert common.release_driver(spark)
+
+
 def test_lm_scores(docs, texts, none):
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
     got = lm.score_documents(docs, train).collect()
