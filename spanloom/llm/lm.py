@@ -128,19 +128,23 @@ class Vocabulary:
 
 
 def contexts(ids: np.ndarray, starts: np.ndarray, low: int, high: int, none: int) -> np.ndarray:
-    """For tokens ``low`` to ``high`` of texts laid end to end, the ``CONTEXT`` symbols before each in its text, nearest first."""
+    """For tokens ``low`` to ``high`` of texts laid end to end, the ``CONTEXT`` symbols before each in its text, nearest first.
+
+    Each column is contiguous and of numpy's index type, for :meth:`Lbl.hidden`.
+    """
     at = np.arange(low, high)
     since = at - starts[low:high]
-    out = np.full((high - low, CONTEXT), none, dtype=np.int32)
+    out = np.full((CONTEXT, high - low), none, dtype=np.intp)
     for j in range(CONTEXT):
         ok = np.flatnonzero(since > j)
-        out[ok, j] = ids[at[ok] - j - 1]
-    return out
+        out[j, ok] = ids[at[ok] - j - 1]
+    return out.T
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place."""
-    np.clip(x, -30, 30, out=x)
+    np.maximum(x, np.float32(-30), out=x)
+    np.minimum(x, np.float32(30), out=x)
     np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
@@ -150,12 +154,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _scatter(target: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """Adds ``values`` to ``rows`` of a contiguous matrix; repeated rows add up."""
     width = target.shape[1]
-    np.add.at(target.reshape(-1), (rows[:, None].astype(np.int64) * width + np.arange(width)).ravel(), values.ravel())
+    np.add.at(target.reshape(-1), (rows[:, None].astype(np.int64, copy=False) * width + np.arange(width)).ravel(), values.ravel())
 
 
 def _log_softmax(z: np.ndarray, own: np.ndarray) -> np.ndarray:
     """The natural-log probability of one column of each row; ``z`` is overwritten."""
-    picked = z[np.arange(len(z)), own].astype(np.float64)
+    picked = z.ravel().take(np.arange(0, z.size, z.shape[1]) + own).astype(np.float64)
     top = float(z.max())
     if top > 60:
         z -= (peak := z.max(axis=1))[:, None]
@@ -209,9 +213,12 @@ class Lbl:
     def hidden(self, ctx: np.ndarray) -> np.ndarray:
         """Representations, with a one at the end for the biases."""
         h = np.ones((len(ctx), DIM + 1), dtype=np.float32)
-        x = self.r[ctx[:, 0]] * self.c[0]
+        x = self.r.take(ctx[:, 0], axis=0)
+        x *= self.c[0]
         for j in range(1, CONTEXT):
-            x += self.r[ctx[:, j]] * self.c[j]
+            y = self.r.take(ctx[:, j], axis=0)
+            y *= self.c[j]
+            x += y
         h[:, :DIM] = x
         return h
 
@@ -227,39 +234,45 @@ class Lbl:
         own = ids[low:high].astype(np.int64)
         ctx, units = contexts(ids, starts, low, high, self.base[-1]), self.unit[own]
         h, out, q = np.empty((len(own), DIM + 1), np.float32), np.empty(len(own)), np.ascontiguousarray(self.q.T)
+        room = np.empty(max(BATCH * q.shape[1], 1 << 18, int(np.diff(self.base).max())), np.float32)  # the same memory for every block's scores
+        scores = lambda x, q: np.matmul(x, q, out=room[: len(x) * q.shape[1]].reshape(len(x), -1))
         for a in range(0, len(own), BATCH):
             b = slice(a, a + BATCH)
             h[b] = self.hidden(ctx[b])
-            out[b] = _log_softmax(h[b] @ q, units[b])
+            out[b] = _log_softmax(scores(h[b], q), units[b])
         for lo, hi, places in self.by_class(units):
             q, step = np.ascontiguousarray(self.q_in[lo:hi].T), max(1, (1 << 18) // (hi - lo))
             for a in range(0, len(places), step):
                 p = places[a : a + step]
-                out[p] += _log_softmax(h[p] @ q, own[p] - lo)
+                out[p] += _log_softmax(scores(h.take(p, axis=0), q), own[p] - lo)
         return out
 
     @staticmethod
     def _contrast(h, target, noise, q, log_noise):
         """NCE with noise that a batch shares: gradients at the targets' and the noise's scores."""
         log_k = math.log(len(noise))
-        positive = 1 - _sigmoid(np.einsum("ij,ij->i", h, q[target]) - log_k - log_noise[target])
-        negative = _sigmoid(h @ q[noise].T - (log_k + log_noise[noise]))
+        positive = 1 - _sigmoid(np.einsum("ij,ij->i", h, q.take(target, axis=0)) - log_k - log_noise[target])
+        negative = h @ q[noise].T
+        negative -= log_k + log_noise[noise]
+        negative = _sigmoid(negative)
         return positive, np.negative(negative, out=negative)
 
     @staticmethod
     def _adagrad(h, target, noise, positive, negative, q, sums, rate):
-        d = np.zeros_like(q)
+        d = np.zeros(q.shape, np.float32)
         _scatter(d, target, positive[:, None] * h)
         np.add.at(d, noise, negative.T @ h)
         sums += np.einsum("ij,ij->i", d, d) / d.shape[1]
-        q += rate * d / np.sqrt(sums)[:, None]
+        d *= np.float32(rate)
+        d /= np.sqrt(sums)[:, None]
+        q += d
 
     def step(self, ctx: np.ndarray, units: np.ndarray, rng: np.random.Generator) -> None:
         """One step of the class level and of the input vectors on a batch."""
         h = self.hidden(ctx)
         noise = np.minimum(np.searchsorted(self.run, (np.arange(NOISE) + rng.random()) / NOISE * self.run[-1]), len(self.q) - 1)
         positive, negative = self._contrast(h, units, noise, self.q, self.log_noise)
-        back = positive[:, None] * self.q[units, :DIM]
+        back = positive[:, None] * self.q.take(units, axis=0)[:, :DIM]
         back += negative @ self.q[noise, :DIM]
         self._adagrad(h, units, noise, positive, negative, self.q, self.sum_q, RATE)
         seen = ctx.T.ravel()
@@ -280,7 +293,7 @@ class Lbl:
     def train(self, ids: np.ndarray, starts: np.ndarray, low: int, high: int, rng: np.random.Generator) -> None:
         """NCE over the tokens from ``low`` to ``high`` of texts laid end to end, in a random order."""
         order = rng.permutation(high - low)
-        ctx, own = contexts(ids, starts, low, high, self.base[-1])[order], ids[low:high][order].astype(np.int64)
+        ctx, own = contexts(ids, starts, low, high, self.base[-1]).T.take(order, axis=1).T, ids[low:high][order].astype(np.int64)
         units = self.unit[own]
         for a in range(0, len(own), BATCH):
             self.step(ctx[a : a + BATCH], units[a : a + BATCH], rng)
@@ -288,7 +301,7 @@ class Lbl:
         for lo, hi, places in self.by_class(units):
             for a in range(0, len(places), BATCH_IN):
                 p = places[a : a + BATCH_IN]
-                self.step_members(h[p], own[p], lo, hi, rng)
+                self.step_members(h.take(p, axis=0), own[p], lo, hi, rng)
 
 
 def _laid_out(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

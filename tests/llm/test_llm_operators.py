@@ -371,6 +371,21 @@ def test_lm_classes_and_spans():
         assert spans[0][0] == 0 and spans[-1][1] == n and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
 
 
+def test_lm_gathers_are_plain():
+    """Contexts come as numpy gathers them without a copy, and give what indexing gives."""
+    rng = np.random.default_rng(2)
+    base = np.concatenate([[0], np.cumsum(rng.integers(1, 9, lm.CLASSES)), [0]])
+    base[-1] = size = base[-2] + 1
+    model = lm.Lbl(base, rng.random(lm.CLASSES + 1) + 0.01, rng.random(size) + 0.01)
+    lengths = rng.integers(1, 9, 300)
+    ids, starts = lm._laid_out([rng.integers(0, size, n).astype(np.uint16) for n in lengths])
+    ctx = lm.contexts(ids, starts, 7, 900, size)
+    assert [[ids[t - j] if t - j >= starts[t] else size for j in range(1, lm.CONTEXT + 1)] for t in range(7, 900)] == ctx.tolist()
+    assert ctx.dtype == np.intp and all(ctx[:, j].flags.c_contiguous for j in range(lm.CONTEXT))
+    want = sum(model.r[ctx[:, j]] * model.c[j] for j in range(lm.CONTEXT))
+    assert np.allclose(model.hidden(ctx)[:, : lm.DIM], want, atol=1e-6) and (model.hidden(ctx)[:, lm.DIM] == 1).all()
+
+
 def test_lm_long_text(spark):
     df = spark.createDataFrame([(0, "ab " * 400_000), (1, "x" * 3_000_000), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in lm.score_documents(df, F.col("doc_id") < 2).collect()}
