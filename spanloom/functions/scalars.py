@@ -21,6 +21,12 @@ VIDEO_EXTENSIONS = (".mp4", ".mov", ".avi", ".mkv", ".wmv", ".flv", ".webm", ".m
 MEDIA_FORMATS = {"mp3": "mp3", "mp4": "mp4", "wav": "wav", "flac": "flac", "ogg": "ogg", "amr": "amr", "webm": "webm", "m4a": "m4a", "mov": "mp4", "qt": "mp4", "m4v": "mp4"}
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """A double rounded half away from zero on its scaled value, as DuckDB rounds one; Spark's ``round`` goes by the decimals that it prints and takes 1.005 up."""
+    scale = F.lit(10.0**digits)
+    return F.round((F.col(value) if isinstance(value, str) else value) * scale) / scale
+
+
 def category(text: Column) -> Column:
     """The category of a text: itself, else its first keyword's by priority, else ``other``."""
     r = F.lower(F.trim(F.coalesce(text, F.lit(""))))

@@ -412,8 +412,8 @@ a as (select v, count(*) as np, count(*) filter (exists (select 1 from gg where
 select v, round(hp::double / np, 6) as "precision", round(hg::double / ng, 6) as recall, round(coalesce(2 * (hp::double / np) * (hg::double / ng) / nullif(hp::double / np + hg::double / ng, 0), 0), 6) as f1 from a join b using (v)""")
 def boundary_f1(s, d):
     p, g, t = _pred_gold(s, d)
-    out = scoring.boundary_metrics(scoring.span_points(p), scoring.span_points(g), t)
-    return out.select("v", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+    out = scoring.boundary_metrics(scoring.span_points(p, empty=True), scoring.span_points(g, empty=True), t)
+    return out.select("v", *(sc.rounded(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 @query(f"""with {REGIONS}, p as (select v, ord, "start", "end" - 1 as "end", kind as type from regions where ord % 2 = 0), g as (select v, ord, "start", "end", kind as type from regions where ord % 2 = 1),
@@ -471,7 +471,7 @@ def score_gate(s, d):
     """Type accuracy applies to timelines of three gold spans or more."""
     p, g, t = _pred_gold(s, d)
     dead = scoring.dead_metrics(p.withColumn("ord", F.lit(0)), g.withColumn("ord", F.lit(0)), t).select("v", F.col("f1").alias("dead_f1"))
-    bounds = scoring.boundary_metrics(scoring.span_points(p), scoring.span_points(g), t).select("v", F.col("f1").alias("boundary_f1"))
+    bounds = scoring.boundary_metrics(scoring.span_points(p, empty=True), scoring.span_points(g, empty=True), t).select("v", F.col("f1").alias("boundary_f1"))
     r = views.regions(s, d).withColumnRenamed("kind", "type")
     types = scoring.type_accuracy(r.filter("ord % 2 = 0").withColumn("end", F.col("end") - 1), r.filter("ord % 2 = 1"), t).select("v", F.col("accuracy").alias("type_accuracy"), (F.col("total") >= 3).alias("applies_type_accuracy"))
     both = dead.join(bounds, "v").join(types, "v").withColumns({"applies_dead_f1": F.lit(True), "applies_boundary_f1": F.lit(True)})

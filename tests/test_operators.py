@@ -3,6 +3,7 @@
 import json
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -196,6 +197,17 @@ def test_scores(spark):
     assert (e.n, e.k, e.pk, e.windowdiff) == (100, 17, 0, 0) or (e.n, e.k) == (100, 16)
 
 
+def test_boundaries_round_as_in_sql(spark):
+    """1.005 * 100 is a double less than 100.5, so 1.005 and 1.0 are one boundary."""
+    values = [1.005, 2.675, 584.105, 17.525, 0.285, 40.0, -1.005]
+    sql = [duckdb.execute(f"select round({x!r}::double, 2)").fetchall()[0][0] for x in values]
+    df = spark.createDataFrame([(1, x) for x in values], "v long, t double")
+    assert [r.t for r in df.select(scalars.rounded("t", 2).alias("t")).collect()] == sql
+    pred = spark.createDataFrame([(1, 1.0), (1, 1.005), (1, 10.0)], "v long, t double")
+    got = scoring.boundary_metrics(pred, pred.filter("t = 10"), pred.select("v").distinct()).collect()[0]
+    assert (got.precision, got.recall) == (0.5, 1.0)
+
+
 def test_events(spark):
     data = [("ObjectCreated:Put", "video/a.mp4", 1 << 21), ("ObjectCreated:CompleteMultipartUpload", "video/b.MOV", 1 << 21), ("ObjectCreated:Copy", "video/a.mp4", 1), ("ObjectCreated:Put", "edit/x_trim_request.json", 9), ("ObjectCreated:Put", "edit/x_segment_request.json", 9), ("ObjectCreated:Put", "other/a.mp4", 9), ("ObjectCreated:Put", "video/a.mp4", 9), ("ObjectCreated:Put", "video/a.txt", 1 << 21)]
     raw = json.dumps({"Records": [{"eventName": e, "s3": {"bucket": {"name": "b"}, "object": {"key": k, "size": n}}} for e, k, n in data]})

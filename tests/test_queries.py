@@ -34,6 +34,21 @@ def test_against_sql(spark, con, name):
     assert table(ALL[name](spark, SF).toPandas()) == table(con.sql(SQL[name]).df())
 
 
+def small_events(tmp_path, rows):
+    """A folder with ``events`` of (user_id, seconds on the timeline, event_type, value), and its views in DuckDB."""
+    c = duckdb.connect()
+    each = ", ".join(f"({i}::bigint, timestamp '2024-01-01' + to_microseconds({round(t * 6e8)}::bigint), {v}::bigint, '{kind}', {value}::double, '')" for i, (v, t, kind, value) in enumerate(rows))
+    c.sql(f"copy (select * from (values {each}) x(event_id, ts, user_id, event_type, value, props)) to '{tmp_path}/events.parquet' (format parquet)")
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", ["boundary_f1", "score_gate"])
+def test_regions_without_length_are_boundaries(spark, tmp_path, name):
+    c = small_events(tmp_path, [(1, 10, "view", 4), (1, 100, "error", 0), (1, 103.5, "view", 0), (1, 200.005, "click", 0), (1, 200.01, "view", 2)])
+    assert table(ALL[name](spark, str(tmp_path)).toPandas()) == table(c.sql(SQL[name]).df())
+
+
 @pytest.mark.parametrize("name", sorted(set(ALL) - set(SQL)))
 def test_runs(spark, name):
     df = ALL[name](spark, SF)
