@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Rows of timelines in a task: the deepest plan (``score_gate``) sorts them many times at once, at about 1.2 kB a row.
+TASK_ROWS = 200_000
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_timeline(df: DataFrame, rows: int, least: int = TASK_ROWS) -> DataFrame:
+    """``df`` of ``rows`` rows, dealt by timeline so that a task has about ``least`` of them, however long the table.
+
+    A fixed number of shuffle partitions, or partitions joined up to a size on disk, would let the sorts of one task grow with it.
+    """
+    if rows <= least:
+        return df
+    return df.repartition(max(math.ceil(rows / least), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "v")
+
+
 def seconds(ts: str) -> F.Column:
     """Seconds since 2024, scaled, of a zone-less timestamp."""
     base = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return (F.unix_micros(F.col(ts).cast("timestamp")) - base) / F.lit(1e6) / F.lit(600.0)
 
 
-def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detector regions (v, ord, start, end, kind) from events."""
+def regions(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    """Detector regions (v, ord, start, end, kind) from events; ``dealt`` by timeline, unless a query has no use for it."""
     kind = F.create_map(*(F.lit(x) for p in (("click", "black"), ("view", "white"), ("purchase", "bars"), ("signup", "snow"), ("error", "silence")) for x in p))
-    out = read(spark, sf_dir, "events").select(F.col("user_id").alias("v"), F.col("event_id").alias("ord"), seconds("ts").alias("start"), "value", kind[F.col("event_type")].alias("kind"))
-    return out.select("v", "ord", "start", (F.col("start") + F.col("value") * F.lit(0.5)).alias("end"), F.coalesce("kind", F.lit("freeze")).alias("kind"))
+    events = read(spark, sf_dir, "events")
+    out = events.select(F.col("user_id").alias("v"), F.col("event_id").alias("ord"), seconds("ts").alias("start"), "value", kind[F.col("event_type")].alias("kind"))
+    out = out.select("v", "ord", "start", (F.col("start") + F.col("value") * F.lit(0.5)).alias("end"), F.coalesce("kind", F.lit("freeze")).alias("kind"))
+    return by_timeline(out, events.count()) if dealt else out
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +51,8 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label samples (v, ord, t, label) from events."""
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("v"), F.col("event_id").alias("ord"), seconds("ts").alias("t"), F.col("event_type").alias("label"))
+    events = read(spark, sf_dir, "events")
+    return by_timeline(events.select(F.col("user_id").alias("v"), F.col("event_id").alias("ord"), seconds("ts").alias("t"), F.col("event_type").alias("label")), events.count())
 
 
 def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:

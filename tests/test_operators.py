@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import kernels, scalars
 from spanloom.operators import aggs, events, folds, intervals, joins, scoring, sequences
-from spanloom.sources import documents, logs
+from spanloom.sources import documents, logs, views
 from spanloom.streaming import adapters
 
 R = "v long, ord long, start double, end double, kind string"
@@ -208,6 +208,29 @@ def test_boundaries_round_as_in_sql(spark):
     assert (got.precision, got.recall) == (0.5, 1.0)
 
 
+def test_scores_make_no_pairs_and_agree_with_pairs(spark):
+    rng = random.Random(7)
+    a, b = ([(v, i, float(s), float(s + rng.randrange(0, 9)), "D") for v in range(6) for i, s in enumerate(rng.sample(range(120), 14 if v else 0))] for _ in "pg")
+    pred, gold = (spark.createDataFrame(x, R) for x in (a, b))
+    t = spark.createDataFrame([(v,) for v in range(6)], "v long")
+    dead, bounds = scoring.dead_metrics(pred, gold, t), scoring.boundary_metrics(scoring.span_points(pred), scoring.span_points(gold), t)
+    for df in (dead, bounds):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    d, m = ({r.v: r for r in x.collect()} for x in (dead, bounds))
+    assert sorted(d) == sorted(m) == list(range(6))
+    for v in range(6):
+        p, g = ({s for r in x if r[0] == v for s in range(int(r[2]), int(r[3]))} for x in (a, b))
+        assert d[v].precision == pytest.approx(len(p & g) / len(p) if p else float(not g)) and d[v].recall == pytest.approx(len(p & g) / len(g) if g else float(not p))
+        p, g = ({x for r in y if r[0] == v and r[3] > r[2] for x in r[2:4]} for y in (a, b))
+        hit = lambda x, y: sum(any(abs(i - j) <= 2 for j in y) for i in x)
+        assert m[v].precision == pytest.approx(hit(p, g) / len(p) if p else float(not g)) and m[v].recall == pytest.approx(hit(g, p) / len(g) if g else float(not p))
+
+
+def test_tasks_have_a_fixed_number_of_rows(spark):
+    df = spark.range(5000).select((F.col("id") % 700).alias("v"))
+    assert [views.by_timeline(df.limit(n), n, 100).rdd.getNumPartitions() for n in (1000, 5000)] == [10, 50]
+
+
 def test_events(spark):
     data = [("ObjectCreated:Put", "video/a.mp4", 1 << 21), ("ObjectCreated:CompleteMultipartUpload", "video/b.MOV", 1 << 21), ("ObjectCreated:Copy", "video/a.mp4", 1), ("ObjectCreated:Put", "edit/x_trim_request.json", 9), ("ObjectCreated:Put", "edit/x_segment_request.json", 9), ("ObjectCreated:Put", "other/a.mp4", 9), ("ObjectCreated:Put", "video/a.mp4", 9), ("ObjectCreated:Put", "video/a.txt", 1 << 21)]
     raw = json.dumps({"Records": [{"eventName": e, "s3": {"bucket": {"name": "b"}, "object": {"key": k, "size": n}}} for e, k, n in data]})
