@@ -62,10 +62,11 @@ def subtract(df: DataFrame, holes: DataFrame, least_hole: float = 0.5, least: fl
     merged = merged.select("v", F.col("start").alias("hs"), F.col("end").alias("he"))
     hit = df.join(merged, (df["v"] == merged["v"]) & (merged["hs"] < df["end"]) & (merged["he"] > df["start"]), "left").select(df["v"], "ord", "start", "end", "hs", "he")
     w = Window.partitionBy("v", "ord", "start", "end").orderBy("hs")
-    before = hit.select("v", "ord", F.greatest(F.coalesce(F.lag("he").over(w), F.col("start")), F.col("start")).alias("a"), F.coalesce("hs", "end").alias("b"))
-    after = hit.filter("hs is not null").groupBy("v", "ord", "start", "end").agg(F.max("he").alias("a")).select("v", "ord", "a", F.col("end").alias("b"))
-    pieces = before.unionByName(after)
-    return pieces.filter(F.col("b") - F.col("a") > least).select("v", "ord", F.col("a").alias("start"), F.col("b").alias("end"))
+    piece = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    before = piece(F.greatest(F.coalesce(F.lag("he").over(w), F.col("start")), F.col("start")), F.coalesce("hs", "end"))
+    after = F.when(F.col("hs").isNotNull() & F.lead("hs").over(w).isNull(), piece(F.col("he"), F.col("end")))
+    pieces = hit.select("v", "ord", before.alias("before"), after.alias("after")).select("v", "ord", F.explode(F.array("before", "after")).alias("x"))
+    return pieces.filter(F.col("x.end") - F.col("x.start") > least).select("v", "ord", "x.start", "x.end")
 
 
 def points_to_intervals(points: DataFrame, step: float = 1.0, least: float = 2.0) -> DataFrame:

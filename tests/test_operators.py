@@ -226,6 +226,18 @@ def test_scores_make_no_pairs_and_agree_with_pairs(spark):
         assert m[v].precision == pytest.approx(hit(p, g) / len(p) if p else float(not g)) and m[v].recall == pytest.approx(hit(g, p) / len(g) if g else float(not p))
 
 
+def test_subtraction_joins_once_and_agrees_with_cells(spark):
+    rng = random.Random(3)
+    own, holes = ([(v, i, float(s), float(s + rng.randrange(0, 12)), "D") for v in range(4) for i, s in enumerate(rng.sample(range(150), 15 if v or side else 4))] for side in (0, 1))
+    out = intervals.subtract(spark.createDataFrame(own, R).drop("kind"), spark.createDataFrame([x for x in holes if x[0] < 3], R).select("v", "start", "end"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    want = set()
+    for v, i, s, e, _ in own:
+        cells = [c for c in range(int(s), int(e)) if not any(h[0] == v < 3 and h[2] <= c < h[3] for h in holes)]
+        want |= {(v, i, float(c), float(next(x for x in range(c + 1, 999) if x not in cells))) for c in cells if c - 1 not in cells}
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+
+
 def test_tasks_have_a_fixed_number_of_rows(spark):
     df = spark.range(5000).select((F.col("id") % 700).alias("v"))
     assert [views.by_timeline(df.limit(n), n, 100).rdd.getNumPartitions() for n in (1000, 5000)] == [10, 50]
