@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,54 +141,90 @@ def shot_samples(shots: DataFrame, frames: int = 3) -> DataFrame:
     return s.select("v", "ord", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.col("start") + (k + 0.5) / F.col("n") * dur).alias("times"))
 
 
-def _cohesion(words: list[str], block: int, width: int):
-    """gap, cosine of the word counts on either side, for a timeline's topic words in order."""
-    counts = [Counter(words[a : a + block]) for a in range(0, len(words), block)]
-    n = len(counts)
-    if n < 2 * width:
-        return
-    left, right = Counter(counts[0]), Counter(words[block : block * (1 + width)])
-    for gap in range(1, n):
-        small, large = (left, right) if len(left) < len(right) else (right, left)
-        ab = float(sum([c * large[w] for w, c in small.items() if w in large]))
-        aa, bb = (float(sum([c * c for c in x.values()])) for x in (left, right))
-        yield gap, ab / (math.sqrt(aa) * math.sqrt(bb)) if aa and bb else 0.0
-        for side, block_, sign in ((left, gap, 1), (right, gap, -1), (right, gap + width, 1), (left, gap - width, -1)):
-            for w, c in counts[block_].items() if 0 <= block_ < n else ():
-                c = side.get(w, 0) + sign * c
-                if c:
-                    side[w] = c
-                else:
-                    del side[w]
+def _cohesion(rows: pa.RecordBatch, block: int, width: int, stop: pa.Array) -> pa.RecordBatch:
+    """v, gap, t, sim of whole timelines in order (v, start, dur, words): cosine of the word counts on either side of a gap.
+
+    Counts meet as products of the blocks up to 2 * ``width`` apart that share a word, for all timelines at once; sums
+    of whole numbers are exact in doubles.
+    """
+    v, start, dur = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+    said = pc.split_pattern(rows.column(3), " ")
+    coded = said.flatten().dictionary_encode()
+    topic = pc.and_(pc.greater(pc.binary_length(coded.dictionary), 2), pc.invert(pc.is_in(coded.dictionary, stop))).to_numpy(zero_copy_only=False)
+    word, row = coded.indices.to_numpy().astype(np.int64), pc.list_parent_indices(said).to_numpy().astype(np.int64)
+    kept = topic[word]
+    word, row = word[kept], row[kept]
+    own = np.bincount(row, minlength=len(v))  # topic words of each row
+    line = np.cumsum(np.concatenate([[0], v[1:] != v[:-1]]).astype(np.int64))
+    size = np.bincount(line[row], minlength=line[-1] + 1)
+    first, blocks = np.cumsum(size) - size, -(-size // block)
+    blocks[blocks < 2 * width] = 0
+    reach = 2 * width
+    base = reach + np.cumsum(blocks + reach) - (blocks + reach)  # so many empty blocks between timelines that none meet
+    many = int(base[-1] + blocks[-1] + reach)
+
+    of = line[row]
+    some = blocks[of] > 0
+    at = base[of] + (np.arange(len(word)) - first[of]) // block
+    key, n = np.unique((word * many + at)[some], return_counts=True)
+    at, n = key % many, n.astype(np.float64)
+    cells, products, k = [at * reach], [n * n], np.arange(len(key))
+    for step in range(1, reach):
+        k = k[k + step < len(key)]
+        far = key[k + step] - key[k]
+        k, far = k[far < reach], far[far < reach]
+        cells.append(at[k] * reach + far)
+        products.append(n[k] * n[k + step])
+    shared = np.bincount(np.concatenate(cells), np.concatenate(products), many * reach).reshape(many, reach)
+
+    inside = np.zeros(many + 1)  # by its end, the products within a window of ``width`` blocks
+    total = np.concatenate([np.zeros((1, reach)), np.cumsum(shared, axis=0)])
+    for far in range(width):
+        inside[width:] += (1 if far == 0 else 2) * (total[width - far : many + 1 - far, far] - total[: many + 1 - width, far])
+    gaps = np.maximum(blocks - 1, 0)
+    of = np.repeat(np.arange(len(blocks)), gaps)
+    gap = np.arange(len(of)) - (np.cumsum(gaps) - gaps)[of] + 1
+    g = base[of] + gap
+    ab = sum((shared[g - j, j : j + width].sum(axis=1) for j in range(1, width + 1)), np.zeros(len(g)))
+    aa, bb = inside[g], inside[g + width]
+    full = (aa > 0) & (bb > 0)
+    sim = np.divide(ab, np.sqrt(aa) * np.sqrt(bb), out=np.zeros(len(g)), where=full)
+    k = first[of] + gap * block
+    r = row[k]
+    t = start[r] + dur[r] * (k - (np.cumsum(own) - own)[r]) / own[r]
+    return pa.RecordBatch.from_arrays([pa.array(v[r]), pa.array(gap.astype(np.int32)), pa.array(t), pa.array(sim)], ["v", "gap", "t", "sim"])
 
 
 def lexical_similarity(turns: DataFrame, block: int = 20, width: int = 6) -> DataFrame:
     """v, gap, t, sim: cosine of the word counts of the ``width`` blocks on either side of each gap between blocks.
 
     A block is ``block`` topic words of a timeline in order; timelines of fewer than 2 * ``width`` blocks have none.  One
-    exchange on the timeline; the two windows slide over its blocks, so a word is counted in and out of each once.
+    exchange on the timeline; timelines are counted in whole arrays, some hundreds of turns at a time.
     """
-    stop = frozenset(STOP_WORDS.split())
+    words = STOP_WORDS.split()
 
     def run(batches):
-        current, words, times = None, [], []
+        stop, held = pa.array(words), []  # the turns of a timeline that may go on
 
         def result():
-            found = list(_cohesion(words, block, width))
-            if found:
-                gaps, sims = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array([current] * len(gaps), pa.int64()), pa.array(gaps, pa.int32()), pa.array([times[g * block] for g in gaps], pa.float64()), pa.array(sims, pa.float64())], ["v", "gap", "t", "sim"])
-
-        for b in batches:
-            for v, start, dur, said in zip(*(c.to_pylist() for c in b.columns)):
-                if v != current:
-                    yield from result()
-                    current, words, times = v, [], []
-                own = [w for w in said.split(" ") if len(w) > 2 and w not in stop]
-                n = len(own)
-                times += [start + dur * i / n for i in range(n)]
-                words += own
-        yield from result()
+            all_ = pa.Table.from_batches(held)
+            return _cohesion(all_.set_column(3, "w", all_.column(3).cast(pa.large_string())).combine_chunks().to_batches()[0], block, width, stop)
+
+        for whole in batches:
+            for b in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
+                v = b.column(0).to_numpy()
+                last = int(np.searchsorted(v, v[-1]))
+                if held and held[-1].column(0)[0].as_py() != v[0]:
+                    yield result()
+                    held = []
+                if last == 0:
+                    held.append(b)
+                    continue
+                held.append(b.slice(0, last))
+                yield result()
+                held = [b.slice(last)]
+        if held:
+            yield result()
 
     own = turns.filter("v is not null and text is not null").select("v", "ord", "start", F.greatest(F.col("end") - F.col("start"), F.lit(0.01)).alias("dur"), F.regexp_replace(F.lower("text"), "[^a-z']+", " ").alias("w"))
     return own.repartition("v").sortWithinPartitions("v", "ord").drop("ord").mapInArrow(run, "v long, gap int, t double, sim double")

@@ -1,10 +1,14 @@
 """Operators on hand-made rows, quirks and independent small models of the folds."""
 
 import json
+import math
 import random
+import time
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +212,40 @@ def test_boundaries_round_as_in_sql(spark):
     assert (got.precision, got.recall) == (0.5, 1.0)
 
 
+def plain_cohesion(words, block, width):
+    """The counts of both windows, made anew for each gap."""
+    n = -(-len(words) // block)
+    for gap in range(1, n if n >= 2 * width else 1):
+        a, b = Counter(words[max(0, gap - width) * block : gap * block]), Counter(words[gap * block : (gap + width) * block])
+        ab, aa, bb = (float(sum(x[w] * y[w] for w in x)) for x, y in ((a, b), (a, a), (b, b)))
+        yield gap, ab / (math.sqrt(aa) * math.sqrt(bb))
+
+
+def test_lexical_similarity_of_long_and_short_timelines(spark):
+    """Timelines of one and of many turns, beyond a batch, too short ones and turns without topic words, to the bit."""
+    rng = random.Random(5)
+    said = [(v, i, float(i), i + 0.5 + v, " ".join(rng.choice(("the", "of", "", "x")) if v % 5 == 1 and i % 3 == 0 else f"w{chr(97 + rng.randrange(9))}{'abc'[v % 3]}" for _ in range(rng.randrange(1, 9)))) for v, k in enumerate([3, 1200, 40, 1, 9, 640, 500, 12, 2000]) for i in range(k)]
+    turns = spark.createDataFrame(said, "v long, ord long, start double, end double, text string")
+    got = {(r.v, r.gap): (r.t, r.sim) for r in sequences.lexical_similarity(turns.repartition(3), 4, 3).collect()}
+    want = {}
+    for v in range(9):
+        own = [(x, s, max(e - s, 0.01)) for u, _, s, e, text in said if u == v for x in [[w for w in text.split(" ") if len(w) > 2 and w not in sequences.STOP_WORDS.split()]]]
+        words, times = [w for x, _, _ in own for w in x], [s + d * i / len(x) for x, s, d in own for i in range(len(x))]
+        want |= {(v, gap): (times[4 * gap], sim) for gap, sim in plain_cohesion(words, 4, 3)}
+    assert got == want and len(want) > 3000
+
+
+def test_lexical_similarity_is_quicker_than_a_walk():
+    rng = random.Random(6)
+    words = [[f"word{int(rng.paretovariate(0.7)) % 5000}" for _ in range(2000)] for _ in range(100)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([0.0] * 100), pa.array([9.0] * 100), pa.array([" ".join(x) for x in words], pa.large_string())], ["v", "start", "dur", "w"])
+    began = time.process_time()
+    out = sequences._cohesion(rows, 20, 6, pa.array(["the"]))
+    ours, began = time.process_time() - began, time.process_time()
+    assert out.column(3).to_pylist() == [sim for x in words for _, sim in plain_cohesion(x, 20, 6)]
+    assert ours < (time.process_time() - began) / 3
+
+
 def test_scores_make_no_pairs_and_agree_with_pairs(spark):
     rng = random.Random(7)
     a, b = ([(v, i, float(s), float(s + rng.randrange(0, 9)), "D") for v in range(6) for i, s in enumerate(rng.sample(range(120), 14 if v else 0))] for _ in "pg")
